@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, media, preference, secrets, token_counts, url_filter
+from . import decontaminate, language_id, media, preference, secrets, simhash, token_counts, url_filter
 from .common import read
 
 
@@ -12,10 +12,18 @@ def op1_preference_format(spark, sf_dir):
     return preference.format_preferences(read(spark, sf_dir, "conversations"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.secret_digest(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_gif_columns(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_preference_format, op4_secret_scan, op6_token_counts, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages)}
+    return {f.__name__: f for f in (op1_preference_format, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_token_counts, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages)}
 
 
 def oracle_sql():
