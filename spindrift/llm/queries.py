@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, preference, sampling, secrets, simhash, token_counts, url_filter
+from . import decontaminate, language_id, media, preference, sampling, secrets, simhash, substring_dedup, token_counts, url_filter
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_digest(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_gif_columns(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_preference_format, op2_gumbel_topk, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_token_counts, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages)}
+    return {f.__name__: f for f in (op1_preference_format, op2_gumbel_topk, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_token_counts, op7_substring_dedup, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages)}
 
 
 def oracle_sql():
