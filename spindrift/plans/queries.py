@@ -1,9 +1,577 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables, each with its DuckDB equivalent where SQL has one."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spindrift.functions import normalize
+from spindrift.operators import blocking, evidence, metrics, policy, scoring, splits, training, validate
+from spindrift.operators.scoring import C, S1
+from spindrift.sources import files
+from spindrift.streaming import incremental
+
+from . import oracle as o
+from .fixtures import raw_records, records, truth_lists
+
+_QUERIES, _SQL = {}, {}
+
+POOL = blocking.POSTAL + blocking.DIGITS + blocking.EXACT
+THRESHOLD, MARGIN = 30.0, 1.0
+MARGINS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 7.5, 10.0)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return register
+
+
+# --- shared inputs -------------------------------------------------------------------------
+
+
+def _sides(spark, d, target):
+    return records(spark, d, "S1"), records(spark, d, target)
+
+
+def _pool(spark, d, target, specs=POOL):
+    return blocking.block_pairs(*_sides(spark, d, target), specs)
+
+
+def _truth(spark, d, target=None):
+    return metrics.truth_of(files.truth_pairs(truth_lists(spark, d)), target)
+
+
+def _ranked(spark, d, target):
+    return scoring.scored(evidence.aggregated(_pool(spark, d, target)), *_sides(spark, d, target))
+
+
+def _top(spark, d, target):
+    return _ranked(spark, d, target).where("base_rank = 1").select(S1, C, F.col("base_score").alias("u"))
+
+
+RANKED2, RANKED3 = o.ranked_ctes(POOL, "S2", "2"), o.ranked_ctes(POOL, "S3", "3")
+TRUTH2, TRUTH3 = o.truth_ctes("S2", "2"), o.truth_ctes("S3", "3")
+BOTH = [*o.BASE, *RANKED2, *RANKED3, *TRUTH2, *TRUTH3]
+TOPS = [("tops", "SELECT source1_entity_id, candidate_entity_id, base_score AS u FROM ranked2 WHERE base_rank = 1 UNION ALL SELECT source1_entity_id, candidate_entity_id, base_score FROM ranked3 WHERE base_rank = 1"), ("gt", "SELECT * FROM gt2 UNION ALL SELECT * FROM gt3")]
+
+
+# --- records and keys ----------------------------------------------------------------------
+
+
+@query(o.with_(o.BASE, "SELECT entity_id, name_norm, address_norm, country_norm, name_key, name_country_key, address_country_key, name_address_key, full_key FROM ent"))
+def normalized_records(spark, d):
+    return normalize.normalized_records(raw_records(spark, d)).select("entity_id", "name_norm", "address_norm", "country_norm", "name_key", "name_country_key", "address_country_key", "name_address_key", "full_key")
+
+
+@query(o.with_(o.BASE, "SELECT entity_id, name, addr, number, digits, nonzero, postal, postal_like, last_postal, last_token, core, core_compact, canon_compact FROM ent"))
+def derived_fields(spark, d):
+    return records(spark, d).select("entity_id", "name", "addr", "number", "digits", "nonzero", "postal", "postal_like", "last_postal", "last_token", "core", "core_compact", "canon_compact")
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents")
+def document_normalization(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.md5(normalize.normalized_text(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(o.with_([("raw", o.RAW)], "SELECT count(*) AS n, count(business_name) AS names, count(business_address) AS addresses, count(DISTINCT country) AS countries FROM raw"))
+def missing_tokens(spark, d):
+    return raw_records(spark, d).agg(F.count("*").alias("n"), F.count("business_name").alias("names"), F.count("business_address").alias("addresses"), F.countDistinct("country").alias("countries"))
+
+
+@query(o.with_(o.BASE, "SELECT DISTINCT s1 AS source1_entity_id, c AS matched_entity_id, 1 AS label FROM truth"))
+def truth_explode(spark, d):
+    return files.truth_pairs(truth_lists(spark, d))
+
+
+def _register_family(family, specs):
+    target = "S3" if family in ("inference", "recovery", "transfer", "postal") else "S2"
+
+    def keys(spark, d):
+        return blocking.keyed(records(spark, d), specs).select("block", "key", "id")
+
+    def pairs(spark, d):
+        return _pool(spark, d, target, specs)
+
+    def estimates(spark, d):
+        return blocking.pair_estimates(*_sides(spark, d, target), specs)
+
+    names = ", ".join(f"('{s.name}')" for s in specs)
+    block_ctes = [*o.BASE, *o.block_ctes(specs, target)]
+    query(o.with_(o.BASE, f"SELECT block, key, id FROM ({o.keys_sql(specs, 'true')})"), f"keys_{family}")(keys)
+    query(o.with_(block_ctes, "SELECT * FROM pairs"), f"pairs_{family}")(pairs)
+    query(o.with_(block_ctes, f"SELECT b.block, coalesce(CAST(sum(nl * nr) AS BIGINT), 0) AS pairs, count(nl) AS keys, coalesce(max(greatest(nl, nr)), 0) AS largest FROM (VALUES {names}) b(block) LEFT JOIN good USING (block) GROUP BY 1"), f"estimates_{family}")(estimates)
+
+
+for _family, _specs in blocking.FAMILIES.items():
+    _register_family(_family, _specs)
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.TIGHT[:1], "S2")], "SELECT source1_entity_id, candidate_entity_id, block_name FROM pairs"))
+def window_capped_pairs(spark, d):
+    return blocking.window_capped_pairs(*_sides(spark, d, "S2"), blocking.TIGHT[0])
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.SAFE, "S2")], "SELECT block FROM (SELECT block, sum(nl * nr) AS n FROM good GROUP BY 1) WHERE n <= 6000"))
+def block_budget(spark, d):
+    chosen = blocking.within_budget(*_sides(spark, d, "S2"), blocking.SAFE, 6000, None)
+    return spark.createDataFrame([(s.name,) for s in chosen], "block string")
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.TIGHT, "S2")], "SELECT * FROM pairs"))
+def guarded_pairs(spark, d):
+    return blocking.guarded_pairs(*_sides(spark, d, "S2"), "tight")
+
+
+for _t in ("S2", "S3"):
+    query(o.with_([*o.BASE, *o.block_ctes(blocking.AUGMENTED[_t], _t), *o.block_ctes(POOL, _t, "p")], "SELECT DISTINCT source1_entity_id, candidate_entity_id FROM pairs EXCEPT SELECT source1_entity_id, candidate_entity_id FROM pairsp"), f"augmented_new_{_t}")(lambda spark, d, t=_t: blocking.new_pairs(_pool(spark, d, t, blocking.AUGMENTED[t]), _pool(spark, d, t)))
+
+
+# --- sets and joins ------------------------------------------------------------------------
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.TIGHT, "S2", "a"), *o.block_ctes(blocking.SAFE, "S2", "b")], "SELECT 'union' AS op, count(*) AS n FROM (SELECT source1_entity_id, candidate_entity_id FROM pairsa UNION SELECT source1_entity_id, candidate_entity_id FROM pairsb) UNION ALL SELECT 'intersect', count(*) FROM (SELECT source1_entity_id, candidate_entity_id FROM pairsa INTERSECT SELECT source1_entity_id, candidate_entity_id FROM pairsb) UNION ALL SELECT 'except', count(*) FROM (SELECT source1_entity_id, candidate_entity_id FROM pairsa EXCEPT SELECT source1_entity_id, candidate_entity_id FROM pairsb)"))
+def pair_sets(spark, d):
+    a, b = (_pool(spark, d, "S2", x).select(S1, C) for x in (blocking.TIGHT, blocking.SAFE))
+    sized = lambda op, df: df.agg(F.lit(op).alias("op"), F.count("*").alias("n"))
+    return sized("union", a.union(b).distinct()).union(sized("intersect", a.intersect(b))).union(sized("except", a.distinct().join(b, [S1, C], "left_anti")))
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(POOL, "S2", "a"), *o.block_ctes(POOL, "S3", "b")], "SELECT * FROM pairsb"))
+def direction_filter(spark, d):
+    return blocking.direction(_pool(spark, d, "S2").unionByName(_pool(spark, d, "S3")), "S3")
+
+
+@query(o.with_([*o.BASE, *TRUTH2, *o.block_ctes(POOL, "S2")], "SELECT g.*, EXISTS (SELECT 1 FROM pairs p WHERE p.source1_entity_id = g.source1_entity_id AND p.candidate_entity_id = g.candidate_entity_id) AS covered FROM gt2 g"))
+def exists_flag(spark, d):
+    return _truth(spark, d, "S2").join(_pool(spark, d, "S2").select(S1, C).distinct().withColumn("covered", F.lit(True)), [S1, C], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+@query(o.with_(o.BASE, "SELECT entity_id FROM ent WHERE starts_with(entity_id, 'S1-') AND entity_id NOT IN (SELECT s1 FROM truth)"))
+def records_without_truth(spark, d):
+    return records(spark, d, "S1").select("entity_id").join(_truth(spark, d).select(F.col(S1).alias("entity_id")), "entity_id", "left_anti")
+
+
+# --- evidence ------------------------------------------------------------------------------
+
+_POOL2 = [*o.BASE, *o.block_ctes(POOL, "S2")]
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.EXACT, "S2")], "SELECT source1_entity_id, candidate_entity_id, string_agg(DISTINCT block_name, '|' ORDER BY block_name) AS match_keys, count(DISTINCT block_name) AS exact_key_count FROM pairs GROUP BY 1, 2"))
+def match_keys(spark, d):
+    return evidence.match_keys(_pool(spark, d, "S2", blocking.EXACT))
+
+
+@query(o.with_(_POOL2, o.EVIDENCE.format(pairs="pairs")))
+def aggregated_evidence(spark, d):
+    return evidence.aggregated(_pool(spark, d, "S2"))
+
+
+@query(o.with_(_POOL2, "SELECT source1_entity_id, candidate_entity_id, count(*) AS evidence_count, max(block_name) AS last_block, bool_or(is_exact = 1) AS from_exact FROM pairs GROUP BY 1, 2"))
+def merged_evidence(spark, d):
+    return evidence.merged(_pool(spark, d, "S2"))
+
+
+@query(o.with_(_POOL2, "SELECT exact_key_count, count(*) AS pairs FROM (SELECT count(DISTINCT block_name) AS exact_key_count FROM pairs GROUP BY source1_entity_id, candidate_entity_id) GROUP BY 1"))
+def strength_counts(spark, d):
+    return evidence.strength_counts(_pool(spark, d, "S2"))
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(POOL, "S2", "a"), *o.block_ctes(POOL, "S3", "b")], "SELECT e.entity_id AS source1_entity_id, string_agg(DISTINCT p.candidate_entity_id, ',' ORDER BY p.candidate_entity_id) AS candidate_entity_ids FROM ent e LEFT JOIN (SELECT * FROM pairsa UNION ALL SELECT * FROM pairsb) p ON p.source1_entity_id = e.entity_id WHERE starts_with(e.entity_id, 'S1-') GROUP BY 1"))
+def candidate_lists(spark, d):
+    return evidence.candidate_lists(records(spark, d, "S1"), _pool(spark, d, "S2").unionByName(_pool(spark, d, "S3")))
+
+
+# --- scores and ranks ----------------------------------------------------------------------
+
+_SCORED = "source1_entity_id, candidate_entity_id, name_exact, address_exact, country_exact, name_length_ratio, address_length_ratio, name_similarity, address_similarity, evidence_rows, evidence_file_count, exact_key_count, base_score, base_rank"
+
+for _t in ("S2", "S3"):
+    query(o.with_([*o.BASE, *(RANKED2 if _t == "S2" else RANKED3)], f"SELECT {_SCORED} FROM ranked{_t[1]}"), f"scored_{_t}")(lambda spark, d, t=_t: _ranked(spark, d, t).select(*_SCORED.split(", ")))
+
+for _k in (1, 5, 10, 20):
+    query(o.with_([*o.BASE, *RANKED2], f"SELECT source1_entity_id, candidate_entity_id, base_rank FROM ranked2 WHERE base_rank <= {_k}"), f"top_{_k}")(lambda spark, d, k=_k: scoring.top_k(_ranked(spark, d, "S2"), "base_rank", k).select(S1, C, "base_rank"))
+
+_WIDE = """SELECT source1_entity_id, candidate_entity_id, evidence_count, CASE WHEN la <> '' AND la = ra THEN 1 ELSE 0 END AS address_exact, CASE WHEN ln <> '' AND ln = rn THEN 1 ELSE 0 END AS name_exact,
+  round(least(1.0, CASE WHEN la <> '' AND ra <> '' THEN 0.45 * njw + 0.40 * ajw + 0.10 * njac + 0.05 * ajac ELSE 0.75 * njw + 0.25 * njac END
+    + CASE WHEN ln <> '' AND ln = rn THEN 0.10 ELSE 0 END + CASE WHEN la <> '' AND la = ra THEN 0.15 ELSE 0 END + 0.01 * least(evidence_count, 5)), 6) AS match_score
+  FROM (SELECT *, CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaro_winkler_similarity(ln, rn) END AS njw, CASE WHEN la = '' OR ra = '' THEN 0 ELSE jaro_winkler_similarity(la, ra) END AS ajw,
+    CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaccard(ln, rn) END AS njac, CASE WHEN la = '' OR ra = '' THEN 0 ELSE jaccard(la, ra) END AS ajac
+    FROM (SELECT p.source1_entity_id, p.candidate_entity_id, count(*) AS evidence_count, any_value(l.name_norm) AS ln, any_value(r.name_norm) AS rn, any_value(l.address_norm) AS la, any_value(r.address_norm) AS ra
+      FROM pairs p JOIN ent l ON l.entity_id = p.source1_entity_id JOIN ent r ON r.entity_id = p.candidate_entity_id GROUP BY 1, 2))"""
+
+
+def _wide(spark, d):
+    pairs = evidence.merged(_pool(spark, d, "S2", blocking.WIDE)).select(S1, C, "evidence_count")
+    return scoring.wide_score(pairs, *_sides(spark, d, "S2"))
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.WIDE, "S2")], _WIDE))
+def wide_score(spark, d):
+    return _wide(spark, d)
+
+
+@query(o.with_([*o.BASE, *o.block_ctes(blocking.WIDE, "S2"), ("w", _WIDE)], "SELECT source1_entity_id, candidate_entity_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDER BY match_score DESC, address_exact DESC, name_exact DESC, evidence_count DESC, candidate_entity_id) AS place FROM w) WHERE place <= 50"))
+def wide_top_50(spark, d):
+    ties = [F.desc("address_exact"), F.desc("name_exact"), F.desc("evidence_count")]
+    return scoring.ranked(_wide(spark, d), "match_score", "place", *ties).where("place <= 50").select(S1, C, "place")
+
+
+@query(o.with_([*o.BASE, *RANKED2], "SELECT source1_entity_id, candidate_entity_id, base_score FROM ranked2 ORDER BY base_score DESC, source1_entity_id, candidate_entity_id LIMIT 20"))
+def best_pairs_sample(spark, d):
+    return _ranked(spark, d, "S2").orderBy(F.desc("base_score"), S1, C).limit(20).select(S1, C, "base_score")
+
+
+@query(o.with_([*o.BASE, *RANKED2], "SELECT source1_entity_id, candidate_entity_id, round(ln(1 + base_rank), 6) AS log_base_rank, round(name_similarity * address_similarity, 6) AS name_x_address, round(name_similarity - address_similarity, 6) AS name_minus_address, round((name_similarity + address_similarity) / 2, 6) AS similarity_mean, least(name_similarity, address_similarity) AS similarity_min, CAST(name_exact + address_exact + country_exact AS DOUBLE) AS exact_field_count FROM ranked2"))
+def derived_features(spark, d):
+    rows = scoring.derived_features(_ranked(spark, d, "S2"))
+    return rows.select(S1, C, *(F.round(c, 6).alias(c) for c in ("log_base_rank", "name_x_address", "name_minus_address", "similarity_mean")), "similarity_min", "exact_field_count")
+
+
+# --- policies ------------------------------------------------------------------------------
+
+
+@query(o.with_([*o.BASE, *RANKED2], f"SELECT source1_entity_id, candidate_entity_id, base_score FROM ranked2 WHERE base_rank = 1 AND base_score >= {THRESHOLD}"))
+def accepted_top1(spark, d):
+    return policy.accepted(_ranked(spark, d, "S2"), "base_rank", "base_score", THRESHOLD).select(S1, C, "base_score")
+
+
+@query(o.with_(BOTH, f"SELECT e.entity_id AS source1_entity_id, nullif(concat_ws(',', a.candidate_entity_id, b.candidate_entity_id), '') AS matched_entity_ids FROM ent e LEFT JOIN ranked2 a ON a.source1_entity_id = e.entity_id AND a.base_rank = 1 AND a.base_score >= {THRESHOLD} LEFT JOIN ranked3 b ON b.source1_entity_id = e.entity_id AND b.base_rank = 1 AND b.base_score >= {THRESHOLD} WHERE starts_with(e.entity_id, 'S1-')"))
+def match_results(spark, d):
+    matches = [policy.accepted(_ranked(spark, d, t), "base_rank", "base_score", THRESHOLD) for t in ("S2", "S3")]
+    return policy.matching_results(records(spark, d, "S1"), matches)
+
+
+_TWO = "SELECT source1_entity_id, max(CASE WHEN base_rank = 1 THEN candidate_entity_id END) AS c1, max(CASE WHEN base_rank = 1 THEN base_score END) AS u1, max(CASE WHEN base_rank = 2 THEN base_score END) AS u2 FROM ranked2 WHERE base_rank <= 2 GROUP BY 1"
+
+
+@query(o.with_([*o.BASE, *RANKED2, ("two", _TWO)], "SELECT source1_entity_id, c1, u1, u2, coalesce(round(u1 - u2, 6), 'inf'::DOUBLE) AS margin FROM two"))
+def best_two(spark, d):
+    return policy.best_two(_ranked(spark, d, "S2"), "base_rank", "base_score").withColumn("margin", F.round("margin", 6))
+
+
+@query(o.with_([*o.BASE, *RANKED2, ("two", _TWO)], f"SELECT source1_entity_id, c1, u1 FROM two WHERE u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= {MARGIN}"))
+def margin_accepted(spark, d):
+    return policy.margin_accepted(_ranked(spark, d, "S2"), "base_rank", "base_score", THRESHOLD, MARGIN).select(S1, "c1", "u1")
+
+
+# --- evaluation ----------------------------------------------------------------------------
+
+
+@query(o.with_([*o.BASE, *TRUTH2, *o.block_ctes(POOL, "S2")], "SELECT count(*) AS truth, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / count(*), 9) AS share FROM (SELECT (source1_entity_id, candidate_entity_id) IN (SELECT (source1_entity_id, candidate_entity_id) FROM pairs) AS hit FROM gt2)"))
+def pair_coverage(spark, d):
+    return metrics.coverage(_truth(spark, d, "S2"), _pool(spark, d, "S2"))
+
+
+_PLACE = "CASE p.block_name " + " ".join(f"WHEN '{s.name}' THEN {i}" for i, s in enumerate(POOL)) + " END"
+
+
+@query(o.with_([*o.BASE, *TRUTH2, *o.block_ctes(POOL, "S2")], f"SELECT [{', '.join(repr(s.name) for s in POOL)}][place + 1] AS block, count(*) AS new_truth FROM (SELECT min({_PLACE}) AS place FROM gt2 g JOIN pairs p USING (source1_entity_id, candidate_entity_id) GROUP BY source1_entity_id, candidate_entity_id) GROUP BY 1"))
+def coverage_ledger(spark, d):
+    return metrics.coverage_ledger(_truth(spark, d, "S2"), _pool(spark, d, "S2"), [s.name for s in POOL])
+
+
+@query(o.with_([*o.BASE, *RANKED2, *TRUTH2], "SELECT count(*) AS truth, " + ", ".join(f"round(avg(CASE WHEN base_rank <= {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}" for k in (1, 3, 5, 10, 20)) + " FROM gt2 LEFT JOIN ranked2 USING (source1_entity_id, candidate_entity_id)"))
+def recall_at_k(spark, d):
+    return metrics.recall_at(_truth(spark, d, "S2"), _ranked(spark, d, "S2"), "base_rank")
+
+
+@query(o.with_([*BOTH, *TOPS, o.policy_cte("pt", "tops", "gt")], f"{o.METRICS} FROM pt"))
+def accept_all_metrics(spark, d):
+    tops = _top(spark, d, "S2").unionByName(_top(spark, d, "S3"))
+    return metrics.policy_metrics(metrics.policy_table(records(spark, d, "S1"), _truth(spark, d), tops))
+
+
+@query(o.with_([*BOTH, *TOPS, ("kept", f"SELECT * FROM tops WHERE u >= {THRESHOLD}"), o.policy_cte("pt", "kept", "gt")], f"{o.METRICS} FROM pt"))
+def threshold_metrics(spark, d):
+    tops = _top(spark, d, "S2").unionByName(_top(spark, d, "S3")).where(F.col("u") >= THRESHOLD)
+    return metrics.policy_metrics(metrics.policy_table(records(spark, d, "S1"), _truth(spark, d), tops))
+
+
+def _none(spark, d, fixed=None):
+    """The policy table before any candidate of a sweep is accepted."""
+    empty = fixed if fixed is not None else spark.createDataFrame([], f"{S1} string, {C} string")
+    return metrics.policy_table(records(spark, d, "S1"), _truth(spark, d), empty)
+
+
+_SWEEP = [("cuts", "SELECT DISTINCT u AS threshold FROM {swept}"), ("taken", "SELECT threshold, source1_entity_id, candidate_entity_id FROM cuts JOIN {swept} ON u >= threshold UNION ALL SELECT threshold, source1_entity_id, candidate_entity_id FROM cuts, {fixed}"), ("counted", "SELECT t.threshold, t.source1_entity_id, count(*) AS predicted, count(g.candidate_entity_id) AS hits FROM taken t LEFT JOIN gt g USING (source1_entity_id, candidate_entity_id) GROUP BY 1, 2"), ("state", "SELECT c.threshold, e.source1_entity_id, e.truth, coalesce(x.predicted, 0) AS predicted, coalesce(x.hits, 0) AS hits FROM cuts c CROSS JOIN pt e LEFT JOIN counted x ON x.threshold = c.threshold AND x.source1_entity_id = e.source1_entity_id"), ("curve", f"SELECT threshold, round(avg({o.f05()}), 9) AS macro_f05, round(sum(hits) / sum(predicted), 9) AS precision, round(sum(hits) / sum(truth), 9) AS recall, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM state GROUP BY 1")]
+
+
+def _sweep(swept: str, fixed: str):
+    ctes = [*BOTH, *TOPS, ("top2", "SELECT source1_entity_id, candidate_entity_id, base_score AS u FROM ranked2 WHERE base_rank = 1"), ("top3", "SELECT source1_entity_id, candidate_entity_id, base_score AS u FROM ranked3 WHERE base_rank = 1"), ("nothing", "SELECT * FROM tops WHERE false"), o.policy_cte("pt", "nothing", "gt")]
+    return [*ctes, *((n, b.format(swept=swept, fixed=fixed)) for n, b in _SWEEP)]
+
+
+@query(o.with_(_sweep("tops", "nothing"), "SELECT * FROM curve"))
+def threshold_curve(spark, d):
+    tops = _top(spark, d, "S2").unionByName(_top(spark, d, "S3"))
+    return metrics.threshold_curve(_none(spark, d), tops, "u", _truth(spark, d))
+
+
+@query(o.with_(_sweep("tops", "nothing"), "SELECT * FROM curve ORDER BY macro_f05 DESC, threshold DESC LIMIT 1"))
+def best_threshold(spark, d):
+    tops = _top(spark, d, "S2").unionByName(_top(spark, d, "S3"))
+    return metrics.best_threshold(_none(spark, d), tops, "u", _truth(spark, d))
+
+
+@query(o.with_(_sweep("top3", "top2"), "SELECT * FROM curve"))
+def one_direction_curve(spark, d):
+    return metrics.threshold_curve(_none(spark, d, _top(spark, d, "S2")), _top(spark, d, "S3"), "u", _truth(spark, d))
+
+
+_GRID = (25.0, 28.0, 30.0, 32.0, 35.0, 40.0, 45.0, 55.0, 70.0)
+
+
+@query(o.with_([*BOTH, *TOPS, ("nothing", "SELECT * FROM tops WHERE false"), o.policy_cte("pt", "nothing", "gt"), ("cut", f"SELECT unnest([{', '.join(map(str, _GRID))}]) AS t"), ("flag", "SELECT pt.source1_entity_id, pt.truth, a.base_score AS ua, b.base_score AS ub, CASE WHEN ga.source1_entity_id IS NULL THEN 0 ELSE 1 END AS ha, CASE WHEN gb.source1_entity_id IS NULL THEN 0 ELSE 1 END AS hb FROM pt LEFT JOIN ranked2 a ON a.source1_entity_id = pt.source1_entity_id AND a.base_rank = 1 LEFT JOIN gt ga ON ga.source1_entity_id = a.source1_entity_id AND ga.candidate_entity_id = a.candidate_entity_id LEFT JOIN ranked3 b ON b.source1_entity_id = pt.source1_entity_id AND b.base_rank = 1 LEFT JOIN gt gb ON gb.source1_entity_id = b.source1_entity_id AND gb.candidate_entity_id = b.candidate_entity_id"), ("st", "SELECT x.t AS ta, y.t AS tb, truth, CASE WHEN ua >= x.t THEN 1 ELSE 0 END + CASE WHEN ub >= y.t THEN 1 ELSE 0 END AS predicted, CASE WHEN ua >= x.t THEN ha ELSE 0 END + CASE WHEN ub >= y.t THEN hb ELSE 0 END AS hits FROM flag, cut x, cut y")], f"SELECT ta, tb, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1, 2"))
+def threshold_grid(spark, d):
+    return metrics.threshold_grid(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d), list(_GRID), list(_GRID))
+
+
+@query()
+def joint_thresholds(spark, d):
+    return metrics.joint_thresholds(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d))
+
+
+@query(o.with_([*BOTH, ("two", _TWO), ("nothing", "SELECT * FROM ranked2 WHERE false"), o.policy_cte("pt", "nothing", "gt2"), ("m", f"SELECT unnest([{', '.join(map(str, MARGINS))}]) AS gate"), ("st", f"SELECT gate, pt.truth, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate THEN 1 ELSE 0 END AS predicted, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate AND g.source1_entity_id IS NOT NULL THEN 1 ELSE 0 END AS hits FROM m, pt LEFT JOIN two ON two.source1_entity_id = pt.source1_entity_id LEFT JOIN gt2 g ON g.source1_entity_id = two.source1_entity_id AND g.candidate_entity_id = two.c1")], f"SELECT gate, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1"))
+def margin_grid(spark, d):
+    truth = _truth(spark, d, "S2")
+    table = metrics.policy_table(records(spark, d, "S1"), truth, spark.createDataFrame([], f"{S1} string, {C} string"))
+    return metrics.margin_grid(table, policy.best_two(_ranked(spark, d, "S2"), "base_rank", "base_score"), truth, THRESHOLD, MARGINS)
+
+
+# --- block audits --------------------------------------------------------------------------
+
+
+def _recovery_ctes(specs, target):
+    tag = target[1]
+    return [*o.BASE, *o.truth_ctes(target, tag), *o.block_ctes(specs, target), *o.block_ctes(POOL, target, "p"), ("hit", f"SELECT DISTINCT p.block_name AS block, p.source1_entity_id, p.candidate_entity_id, (p.source1_entity_id, p.candidate_entity_id) IN (SELECT (source1_entity_id, candidate_entity_id) FROM pairsp) AS known FROM pairs p JOIN gt{tag} g USING (source1_entity_id, candidate_entity_id)")]
+
+
+def _register_audit(name, specs, target):
+    names = ", ".join(f"({i + 1}, '{s.name}')" for i, s in enumerate(specs))
+
+    def recovery(spark, d):
+        return metrics.block_recovery(_truth(spark, d, target), _pool(spark, d, target), *_sides(spark, d, target), specs)
+
+    def union(spark, d):
+        return metrics.union_recovery(_truth(spark, d, target), _pool(spark, d, target), *_sides(spark, d, target), specs)
+
+    query(o.with_([*_recovery_ctes(specs, target), ("cost", "SELECT block, CAST(sum(nl * nr) AS BIGINT) AS pairs FROM good GROUP BY 1"), ("cov", "SELECT block, count(*) AS covered, count(*) FILTER (NOT known) AS new_truth FROM hit GROUP BY 1")], f"SELECT b.block, coalesce(pairs, 0) AS pairs, coalesce(covered, 0) AS covered, coalesce(new_truth, 0) AS new_truth, CASE WHEN pairs > 0 THEN round(coalesce(new_truth, 0) * 1000000 / pairs, 6) END AS new_per_million FROM (VALUES {names}) b(k, block) LEFT JOIN cost USING (block) LEFT JOIN cov USING (block)"), f"{name}_{target}")(recovery)
+    query(o.with_([*_recovery_ctes(specs, target), ("b", f"SELECT * FROM (VALUES {names}) x(k, block)"), ("first", "SELECT source1_entity_id, candidate_entity_id, min(k) AS k FROM hit JOIN b USING (block) WHERE NOT known GROUP BY 1, 2")], "SELECT CAST(b.k AS BIGINT) AS k, b.block, (SELECT count(*) FROM first f WHERE f.k <= b.k) AS recovered FROM b"), f"{name}_union_{target}")(union)
+
+
+for _t in ("S2", "S3"):
+    _register_audit("block_recovery", blocking.RECOVERY, _t)
+_register_audit("block_transfer", blocking.TRANSFER, "S3")
+
+
+@query()
+def greedy_blocks(spark, d):
+    target = "S3"
+    table = metrics.block_recovery(_truth(spark, d, target), _pool(spark, d, target), *_sides(spark, d, target), blocking.RECOVERY)
+    return spark.createDataFrame([(i, b) for i, b in enumerate(metrics.greedy_blocks(table, 5000))], "place int, block string")
+
+
+@query(o.with_([*o.BASE, *TRUTH2, *o.block_ctes(POOL, "S2", "b"), *o.block_ctes(blocking.UNION, "S2", "a"), ("bp", "SELECT DISTINCT source1_entity_id AS s, candidate_entity_id AS c FROM pairsb"), ("ap", "SELECT DISTINCT source1_entity_id AS s, candidate_entity_id AS c FROM pairsa"), ("x", "SELECT s, c, b.s IS NOT NULL AS inb, a.s IS NOT NULL AS ina, g.source1_entity_id IS NOT NULL AS t FROM bp b FULL JOIN ap a USING (s, c) LEFT JOIN gt2 g ON g.source1_entity_id = s AND g.candidate_entity_id = c"), ("y", "SELECT count(*) FILTER (inb) AS baseline, count(*) FILTER (ina) AS added, count(*) FILTER (ina AND inb) AS overlap, count(*) AS combined, count(*) FILTER (inb AND t) AS baseline_truth, count(*) FILTER (ina AND NOT inb AND t) AS new_truth FROM x")], "SELECT *, CASE WHEN baseline > 0 THEN round((combined - baseline) / baseline, 9) END AS expansion, CASE WHEN new_truth > 0 THEN round((combined - baseline) / new_truth, 6) END AS pairs_per_new FROM y").replace("b.s IS NOT NULL AS inb, a.s IS NOT NULL AS ina", "b.k IS NOT NULL AS inb, a.k IS NOT NULL AS ina").replace("candidate_entity_id AS c FROM pairsb", "candidate_entity_id AS c, 1 AS k FROM pairsb").replace("candidate_entity_id AS c FROM pairsa", "candidate_entity_id AS c, 1 AS k FROM pairsa"))
+def pool_audit(spark, d):
+    return metrics.pool_audit(_truth(spark, d, "S2"), _pool(spark, d, "S2"), _pool(spark, d, "S2", blocking.UNION))
+
+
+# --- triage --------------------------------------------------------------------------------
+
+_SUMMARY = """SELECT e.entity_id AS source1_entity_id, coalesce(any_value(t.n), 0) AS truth_count, max(CASE WHEN base_rank = 1 THEN r.candidate_entity_id END) AS top1_candidate, max(CASE WHEN base_rank = 1 THEN base_score END) AS top1_utility,
+  max(CASE WHEN base_rank = 1 THEN name_exact END) AS top1_name_exact, max(CASE WHEN base_rank = 1 THEN address_exact END) AS top1_address_exact, max(CASE WHEN base_rank = 1 THEN country_exact END) AS top1_country_exact, max(CASE WHEN base_rank = 1 THEN name_similarity END) AS top1_name_similarity, max(CASE WHEN base_rank = 1 THEN address_similarity END) AS top1_address_similarity,
+  min(CASE WHEN g.source1_entity_id IS NOT NULL THEN base_rank END) AS best_true_rank, max(CASE WHEN g.source1_entity_id IS NOT NULL THEN base_score END) AS best_true_utility, """ + ", ".join(f"max(CASE WHEN base_rank <= {k} AND g.source1_entity_id IS NOT NULL THEN 1 ELSE 0 END) AS top{k}_tp" for k in (1, 3, 5, 10, 20)) + """
+  FROM ent e LEFT JOIN (SELECT source1_entity_id, count(*) AS n FROM gt2 GROUP BY 1) t ON t.source1_entity_id = e.entity_id LEFT JOIN ranked2 r ON r.source1_entity_id = e.entity_id LEFT JOIN gt2 g ON g.source1_entity_id = r.source1_entity_id AND g.candidate_entity_id = r.candidate_entity_id
+  WHERE starts_with(e.entity_id, 'S1-') GROUP BY 1"""
+_SUM = [*o.BASE, *RANKED2, *TRUTH2, ("summary", _SUMMARY)]
+
+
+def _summary(spark, d):
+    return metrics.record_summary(records(spark, d, "S1"), _truth(spark, d, "S2"), _ranked(spark, d, "S2"), "base_rank", "base_score")
+
+
+@query(o.with_(_SUM, "SELECT * FROM summary"))
+def record_summary(spark, d):
+    return _summary(spark, d)
+
+
+_WRONG = "truth_count > 0 AND top1_utility IS NOT NULL AND top1_tp = 0"
+
+
+@query(o.with_(_SUM, f"SELECT count(*) FILTER (top1_utility >= {THRESHOLD}) AS accepted, count(*) FILTER (top1_utility >= {THRESHOLD} AND top1_tp = 1) AS accepted_tp, count(*) FILTER (top1_utility >= {THRESHOLD} AND top1_tp = 0) AS accepted_fp, count(*) FILTER (top1_tp = 1 AND (top1_utility < {THRESHOLD} OR top1_utility IS NULL)) AS rejected_tp, count(*) FILTER ({_WRONG} AND best_true_rank <= 20) AS wrong_true_le20, count(*) FILTER ({_WRONG} AND best_true_rank > 20) AS wrong_true_gt20, count(*) FILTER ({_WRONG} AND best_true_rank IS NULL) AS wrong_true_missing, count(*) FILTER (truth_count = 0 AND top1_utility >= {THRESHOLD}) AS singleton_fp FROM summary"))
+def error_triage(spark, d):
+    return metrics.triage(_summary(spark, d), THRESHOLD)
+
+
+@query(o.with_(_SUM, f"SELECT CASE WHEN top1_utility IS NULL THEN 'NO_TOP1' WHEN top1_utility < {THRESHOLD - 10} THEN 'BELOW_LT10' WHEN top1_utility < {THRESHOLD - 5} THEN 'BELOW_10_TO_5' WHEN top1_utility < {THRESHOLD} THEN 'BELOW_5_TO_0' WHEN top1_utility < {THRESHOLD + 5} THEN 'ABOVE_0_TO_5' WHEN top1_utility < {THRESHOLD + 10} THEN 'ABOVE_5_TO_10' ELSE 'ABOVE_GT10' END AS bin, count(*) AS n, CAST(sum(top1_tp) AS BIGINT) AS tp, count(*) FILTER (truth_count = 0 AND top1_utility >= {THRESHOLD}) AS singleton_fp FROM summary GROUP BY 1"))
+def utility_bins(spark, d):
+    return metrics.utility_bins(_summary(spark, d), THRESHOLD)
+
+
+@query(o.with_(_SUM, f"SELECT top1_name_exact, top1_address_exact, top1_country_exact, count(*) AS n FROM summary WHERE top1_utility >= {THRESHOLD} AND top1_tp = 0 GROUP BY 1, 2, 3"))
+def false_patterns(spark, d):
+    return metrics.false_patterns(_summary(spark, d), THRESHOLD)
+
+
+@query(o.with_([*_SUM, ("lost", "SELECT top1_utility - best_true_utility AS gap, best_true_rank FROM summary WHERE top1_tp = 0 AND best_true_rank IS NOT NULL")], "SELECT count(*) AS n, round(avg(gap), 6) AS gap_mean, round(quantile_cont(gap, 0.5), 6) AS gap_p50, round(quantile_cont(gap, 0.9), 6) AS gap_p90, round(avg(best_true_rank), 6) AS rank_mean, round(quantile_cont(best_true_rank::DOUBLE, 0.5), 6) AS best_true_rank_p50, round(quantile_cont(best_true_rank::DOUBLE, 0.9), 6) AS best_true_rank_p90 FROM lost"))
+def utility_gaps(spark, d):
+    return metrics.gap_stats(_summary(spark, d))
+
+
+@query(o.with_([*_POOL2, ("n", "SELECT CAST(count(p.source1_entity_id) AS BIGINT) AS n FROM ent e LEFT JOIN (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM pairs) p ON p.source1_entity_id = e.entity_id WHERE starts_with(e.entity_id, 'S1-') GROUP BY e.entity_id")], "SELECT round(avg(n), 9) AS mean, round(quantile_cont(n::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(n::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(n::DOUBLE, 0.99), 6) AS p99, max(n) AS largest FROM n"))
+def candidate_distribution(spark, d):
+    return metrics.candidate_distribution(records(spark, d, "S1"), _pool(spark, d, "S2").select(S1, C).distinct())
+
+
+@query(o.with_([*o.BASE, *RANKED2], "SELECT count(*) AS n, count(*) AS same, 0.0::DOUBLE AS max_difference, 0.0::DOUBLE AS mean_difference, true AS passes FROM ranked2 WHERE base_rank = 1"))
+def ranking_reproduction(spark, d):
+    return metrics.reproduction(_ranked(spark, d, "S2"), _ranked(spark, d, "S2"), "base_rank", "base_score")
+
+
+# --- splits and training -------------------------------------------------------------------
+
+
+def _hash(column: str, salt: str = "") -> str:
+    text = f"{column} || '|{salt}|'" if salt else column
+    return f"CAST(concat('0x', substr(md5({text}), 1, 12)) AS BIGINT)"
+
+
+_S1IDS = ("ids", "SELECT entity_id FROM ent WHERE starts_with(entity_id, 'S1-')")
+_OLD = ("old", f"SELECT entity_id FROM ids WHERE {_hash('entity_id')} % 5 = 0")
+_HOLD = ("hold", f"SELECT entity_id FROM ids WHERE entity_id NOT IN (SELECT entity_id FROM old) AND {_hash('entity_id', 'HOLDOUT')} % 10 = 0")
+
+
+def _splits(spark, d):
+    ids = records(spark, d, "S1").select("entity_id")
+    old = ids.where(splits.in_validation(F.col("entity_id")))
+    hold = splits.salted_sample(ids, "entity_id", "HOLDOUT", 10, [old])
+    fresh = splits.salted_sample(ids, "entity_id", "FRESH", 11, [old, hold])
+    return {"old": old, "holdout": hold, "fresh": fresh}
+
+
+@query(o.with_([*o.BASE, _S1IDS, _OLD, _HOLD], f"SELECT 'old' AS split, entity_id FROM old UNION ALL SELECT 'holdout', entity_id FROM hold UNION ALL SELECT 'fresh', entity_id FROM ids WHERE entity_id NOT IN (SELECT entity_id FROM old) AND entity_id NOT IN (SELECT entity_id FROM hold) AND {_hash('entity_id', 'FRESH')} % 11 = 0"))
+def split_ids(spark, d):
+    out = None
+    for name, df in _splits(spark, d).items():
+        part = df.select(F.lit(name).alias("split"), "entity_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT '' AS entity_id, '' AS splits, CAST(0 AS BIGINT) AS n WHERE false")
+def split_overlap(spark, d):
+    return splits.overlap(_splits(spark, d), "entity_id")
+
+
+def _labelled(spark, d):
+    return training.labelled(scoring.derived_features(_ranked(spark, d, "S2")), _truth(spark, d, "S2"))
+
+
+_LABELLED = [*o.BASE, *RANKED2, *TRUTH2, ("lab", f"SELECT r.*, CASE WHEN g.source1_entity_id IS NULL THEN 0 ELSE 1 END AS label, CASE WHEN {_hash('r.source1_entity_id')} % 5 = 0 THEN 1 ELSE 0 END AS is_validation FROM ranked2 r LEFT JOIN gt2 g USING (source1_entity_id, candidate_entity_id)")]
+
+
+@query(o.with_(_LABELLED, "SELECT source1_entity_id, candidate_entity_id, base_rank, label, is_validation FROM lab"))
+def labelled_pairs(spark, d):
+    return _labelled(spark, d).select(S1, C, "base_rank", "label", "is_validation")
+
+
+_FEATURE_SQL = {"log_base_rank": "ln(1 + base_rank)", "name_x_address": "name_similarity * address_similarity", "name_minus_address": "name_similarity - address_similarity", "similarity_mean": "(name_similarity + address_similarity) / 2", "similarity_min": "least(name_similarity, address_similarity)", "exact_field_count": "name_exact + address_exact + country_exact"}
+_DIFF = [
+    ("f", "SELECT source1_entity_id, candidate_entity_id, base_rank, label, " + ", ".join(f"CAST({_FEATURE_SQL.get(x, x)} AS DOUBLE) AS f_{x}" for x in scoring.FEATURES) + " FROM lab WHERE is_validation = 0"),
+    ("pos", "SELECT * FROM f WHERE label = 1 QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY base_rank, candidate_entity_id) <= 1"),
+    ("neg", "SELECT * FROM f WHERE label = 0 AND base_rank <= 100 QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY base_rank, candidate_entity_id) <= 2"),
+    ("up", "SELECT p.source1_entity_id, n.candidate_entity_id AS negative, " + ", ".join(f"p.f_{x} - n.f_{x} AS {x}" for x in scoring.FEATURES) + " FROM pos p JOIN neg n USING (source1_entity_id)"),
+    ("diff", "SELECT *, 1 AS pair_label FROM up UNION ALL SELECT source1_entity_id, negative, " + ", ".join(f"-{x} AS {x}" for x in scoring.FEATURES) + ", 0 FROM up"),
+]
+
+
+def _differences(spark, d):
+    return training.pair_differences(_labelled(spark, d).where("is_validation = 0"))
+
+
+@query(o.with_([*_LABELLED, *_DIFF], "SELECT source1_entity_id, negative, pair_label, " + ", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in scoring.FEATURES) + " FROM diff"))
+def pair_differences(spark, d):
+    return _differences(spark, d).select(S1, "negative", "pair_label", *((F.round(x, 6) + 0.0).alias(x) for x in scoring.FEATURES))
+
+
+@query(o.with_([*_LABELLED, *_DIFF], " UNION ALL ".join(f"SELECT '{x}' AS feature, round(avg({x}), 9) + 0.0 AS mean, round(CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1 END, 9) AS scale FROM diff" for x in scoring.FEATURES)))
+def feature_scaling(spark, d):
+    return training.scaling(_differences(spark, d)).withColumn("mean", F.col("mean") + 0.0)
+
+
+@query()
+def pairwise_ranking(spark, d):
+    model = training.fit_pairwise(_differences(spark, d))
+    return model.ranked(_labelled(spark, d)).select(S1, C, F.round("utility", 6).alias("utility"), "rank", "label", "is_validation")
+
+
+@query()
+def pointwise_ranking(spark, d):
+    rows = _labelled(spark, d)
+    model = training.fit_pointwise(rows.where("is_validation = 0"), trees=5, depth=3, least=5)
+    return training.pointwise_ranked(model, rows).select(S1, C, F.round("probability_1", 6).alias("probability_1"), "rank", "label")
+
+
+# --- validation ----------------------------------------------------------------------------
+
+_DIRTY = """SELECT CASE WHEN k % 19 = 0 THEN source1_entity_id || ' ' || coalesce(m, '') WHEN k % 23 = 0 THEN source1_entity_id || chr(9) || 'X9-1,' || coalesce(m, '') WHEN k % 29 = 0 THEN source1_entity_id || chr(9) || 'S1-3,S2-1,S2-1' WHEN k % 31 = 0 THEN 'S1-new' || chr(9) || 'S2-999999999' ELSE source1_entity_id || chr(9) || coalesce(m, '') END AS value FROM base"""
+
+
+def _dirty_lines(spark, d):
+    """A result file with one of each fault in it, as lines."""
+    ids = records(spark, d, "S1").select(F.col("entity_id").alias(S1)).join(truth_lists(spark, d), S1, "left")
+    ids.select(S1, F.col("matched_entity_ids").alias("m"), F.regexp_replace(S1, "S1-", "").cast("bigint").alias("k")).createOrReplaceTempView("base")
+    return spark.sql(_DIRTY)
+
+
+def _faults(spark, d):
+    parsed = validate.parsed_lines(_dirty_lines(spark, d), f"{S1}\tmatched_entity_ids")
+    return validate.list_faults(parsed, records(spark, d, "S1"), records(spark, d))
+
+
+_FAULTS = [*o.BASE, ("base", "SELECT e.entity_id AS source1_entity_id, t.m, CAST(replace(e.entity_id, 'S1-', '') AS BIGINT) AS k FROM ent e LEFT JOIN (SELECT s1, string_agg(DISTINCT c, ',' ORDER BY c) AS m FROM truth GROUP BY 1) t ON t.s1 = e.entity_id WHERE starts_with(e.entity_id, 'S1-')"), ("lines", _DIRTY),
+    ("rows", "SELECT CASE WHEN contains(value, chr(9)) THEN split_part(value, chr(9), 1) ELSE value END AS s1, CASE WHEN contains(value, chr(9)) AND trim(split_part(value, chr(9), 2)) <> '' THEN string_split(rtrim(split_part(value, chr(9), 2)), ',') ELSE [] END AS ids, NOT contains(value, chr(9)) AS no_tab FROM lines"),
+    ("each", "SELECT DISTINCT s1, unnest(ids) AS target FROM rows WHERE NOT no_tab"),
+    ("faults", """SELECT DISTINCT * FROM (SELECT 'row_without_tab' AS rule, 'error' AS level, s1 AS subject FROM rows WHERE no_tab
+      UNION ALL SELECT 'duplicate_row', 'error', s1 FROM rows WHERE NOT no_tab GROUP BY s1 HAVING count(*) > 1
+      UNION ALL SELECT 'repeated_id', 'error', s1 FROM rows WHERE NOT no_tab AND len(ids) <> len(list_distinct(ids))
+      UNION ALL SELECT 'self_match', 'error', target FROM each WHERE starts_with(target, 'S1-')
+      UNION ALL SELECT 'wrong_prefix', 'error', target FROM each WHERE NOT (starts_with(target, 'S1-') OR starts_with(target, 'S2-') OR starts_with(target, 'S3-'))
+      UNION ALL SELECT 'missing_record', 'error', entity_id FROM ent WHERE starts_with(entity_id, 'S1-') AND entity_id NOT IN (SELECT s1 FROM rows WHERE NOT no_tab)
+      UNION ALL SELECT 'extra_record', 'error', s1 FROM rows WHERE NOT no_tab AND s1 NOT IN (SELECT entity_id FROM ent WHERE starts_with(entity_id, 'S1-'))
+      UNION ALL SELECT 'unknown_id', 'error', target FROM each WHERE (starts_with(target, 'S2-') OR starts_with(target, 'S3-')) AND target NOT IN (SELECT entity_id FROM ent))""")]
+
+
+@query(o.with_(_FAULTS, "SELECT * FROM faults"))
+def result_faults(spark, d):
+    return _faults(spark, d)
+
+
+@query(o.with_(_FAULTS, "SELECT rule, level, count(*) AS n, array_to_string(list_sort(list(subject))[1:5], ',') AS examples FROM faults GROUP BY 1, 2"))
+def fault_report(spark, d):
+    return validate.report(_faults(spark, d))
+
+
+@query(o.with_([*o.BASE, *TRUTH2, *_POOL2[len(o.BASE):]], "SELECT DISTINCT 'match_not_candidate' AS rule, 'warning' AS level, source1_entity_id AS subject FROM gt2 WHERE (source1_entity_id, candidate_entity_id) NOT IN (SELECT (source1_entity_id, candidate_entity_id) FROM pairs)"))
+def matches_outside_candidates(spark, d):
+    lists = lambda df: df.groupBy(S1).agg(F.collect_set(C).alias("ids"))
+    return validate.outside_candidates(lists(_truth(spark, d, "S2")), lists(_pool(spark, d, "S2")))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_counts(spark, d):
+    return incremental.event_counts(spark.read.parquet(f"{d}/events.parquet"))
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
