@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Text bytes that a Python worker turns into objects at once (a longer text goes alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,8 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small: bytes bound them, not only rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -42,14 +43,14 @@ def slices(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES)
             yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, by: str, make: Callable, schema) -> DataFrame:
+def map_slices(df: DataFrame, by: str, make: Callable, schema, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded slices. ``make()`` runs once a task and returns a function
     from a RecordBatch to a RecordBatch, a dict of columns or an iterator of either."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part in slices(batches, by):
+        for part in slices(batches, by, most):
             out = step(part)
             for x in [out] if isinstance(out, (dict, pa.RecordBatch)) else out:
                 yield pa.RecordBatch.from_pydict(x) if isinstance(x, dict) else x
@@ -57,6 +58,21 @@ def map_slices(df: DataFrame, by: str, make: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 1 << 20)
+            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.base)]))
+            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse)]))
+        return self.up[:n], self.down[:n]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 

@@ -198,7 +198,7 @@ def fingerprint_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_slices(picked, "text", make, f"id {kind}, fp bigint")
+    return map_slices(picked, "text", make, f"id {kind}, fp bigint", 1 << 18)
 
 
 def _keys(count: int, radius: int) -> list[int]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_slices
+from .common import Powers, checkpointed, map_slices
 
 WINDOW = 20
 GRAM = 6
@@ -44,29 +44,13 @@ SHARD, HEAVY = 1500, 4000
 #: Rows that may be broadcast.
 MAX_BROADCAST = 200_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLACE = np.uint64(24)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 20)
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.base)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse)]))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
+_BYTES, _WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
