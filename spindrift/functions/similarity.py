@@ -46,7 +46,7 @@ def jaro_winkler_of(a: str | None, b: str | None) -> float:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
     m = len(matched)
-    swaps = sum(x != y for x, y in zip(matched, other, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(matched, other, strict=True)) // 2  # whole pairs
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro <= 0.7:
         return jaro

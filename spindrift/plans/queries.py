@@ -227,10 +227,10 @@ def best_pairs_sample(spark, d):
     return _ranked(spark, d, "S2").orderBy(F.desc("base_score"), S1, C).limit(20).select(S1, C, "base_score")
 
 
-@query(o.with_([*o.BASE, *RANKED2], "SELECT source1_entity_id, candidate_entity_id, round(ln(1 + base_rank), 6) AS log_base_rank, round(name_similarity * address_similarity, 6) AS name_x_address, round(name_similarity - address_similarity, 6) AS name_minus_address, round((name_similarity + address_similarity) / 2, 6) AS similarity_mean, least(name_similarity, address_similarity) AS similarity_min, CAST(name_exact + address_exact + country_exact AS DOUBLE) AS exact_field_count FROM ranked2"))
+@query(o.with_([*o.BASE, *RANKED2], "SELECT source1_entity_id, candidate_entity_id, round(ln(1 + base_rank), 6) AS log_base_rank, name_similarity * address_similarity AS name_x_address, name_similarity - address_similarity AS name_minus_address, (name_similarity + address_similarity) / 2 AS similarity_mean, least(name_similarity, address_similarity) AS similarity_min, CAST(name_exact + address_exact + country_exact AS DOUBLE) AS exact_field_count FROM ranked2"))
 def derived_features(spark, d):
     rows = scoring.derived_features(_ranked(spark, d, "S2"))
-    return rows.select(S1, C, *(F.round(c, 6).alias(c) for c in ("log_base_rank", "name_x_address", "name_minus_address", "similarity_mean")), "similarity_min", "exact_field_count")
+    return rows.select(S1, C, F.round("log_base_rank", 6).alias("log_base_rank"), "name_x_address", "name_minus_address", "similarity_mean", "similarity_min", "exact_field_count")
 
 
 # --- policies ------------------------------------------------------------------------------
@@ -313,7 +313,7 @@ def threshold_curve(spark, d):
     return metrics.threshold_curve(_none(spark, d), tops, "u", _truth(spark, d))
 
 
-@query(o.with_(_sweep("tops", "nothing"), "SELECT * FROM curve ORDER BY macro_f05 DESC, threshold DESC LIMIT 1"))
+@query(o.with_(_sweep("tops", "nothing"), f"SELECT * FROM (SELECT * FROM curve UNION ALL SELECT 'inf'::DOUBLE, round(avg({o.f05()}), 9), 0.0, 0.0, 0, 0 FROM pt) ORDER BY macro_f05 DESC, threshold DESC LIMIT 1"))
 def best_threshold(spark, d):
     tops = _top(spark, d, "S2").unionByName(_top(spark, d, "S3"))
     return metrics.best_threshold(_none(spark, d), tops, "u", _truth(spark, d))
@@ -327,7 +327,7 @@ def one_direction_curve(spark, d):
 _GRID = (25.0, 28.0, 30.0, 32.0, 35.0, 40.0, 45.0, 55.0, 70.0)
 
 
-@query(o.with_([*BOTH, *TOPS, ("nothing", "SELECT * FROM tops WHERE false"), o.policy_cte("pt", "nothing", "gt"), ("cut", f"SELECT unnest([{', '.join(map(str, _GRID))}]) AS t"), ("flag", "SELECT pt.source1_entity_id, pt.truth, a.base_score AS ua, b.base_score AS ub, CASE WHEN ga.source1_entity_id IS NULL THEN 0 ELSE 1 END AS ha, CASE WHEN gb.source1_entity_id IS NULL THEN 0 ELSE 1 END AS hb FROM pt LEFT JOIN ranked2 a ON a.source1_entity_id = pt.source1_entity_id AND a.base_rank = 1 LEFT JOIN gt ga ON ga.source1_entity_id = a.source1_entity_id AND ga.candidate_entity_id = a.candidate_entity_id LEFT JOIN ranked3 b ON b.source1_entity_id = pt.source1_entity_id AND b.base_rank = 1 LEFT JOIN gt gb ON gb.source1_entity_id = b.source1_entity_id AND gb.candidate_entity_id = b.candidate_entity_id"), ("st", "SELECT x.t AS ta, y.t AS tb, truth, CASE WHEN ua >= x.t THEN 1 ELSE 0 END + CASE WHEN ub >= y.t THEN 1 ELSE 0 END AS predicted, CASE WHEN ua >= x.t THEN ha ELSE 0 END + CASE WHEN ub >= y.t THEN hb ELSE 0 END AS hits FROM flag, cut x, cut y")], f"SELECT ta, tb, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1, 2"))
+@query(o.with_([*BOTH, *TOPS, ("nothing", "SELECT * FROM tops WHERE false"), o.policy_cte("pt", "nothing", "gt"), ("cut", f"SELECT unnest([{', '.join(map(str, _GRID))}]::DOUBLE[]) AS t"), ("flag", "SELECT pt.source1_entity_id, pt.truth, a.base_score AS ua, b.base_score AS ub, CASE WHEN ga.source1_entity_id IS NULL THEN 0 ELSE 1 END AS ha, CASE WHEN gb.source1_entity_id IS NULL THEN 0 ELSE 1 END AS hb FROM pt LEFT JOIN ranked2 a ON a.source1_entity_id = pt.source1_entity_id AND a.base_rank = 1 LEFT JOIN gt ga ON ga.source1_entity_id = a.source1_entity_id AND ga.candidate_entity_id = a.candidate_entity_id LEFT JOIN ranked3 b ON b.source1_entity_id = pt.source1_entity_id AND b.base_rank = 1 LEFT JOIN gt gb ON gb.source1_entity_id = b.source1_entity_id AND gb.candidate_entity_id = b.candidate_entity_id"), ("st", "SELECT x.t AS ta, y.t AS tb, truth, CASE WHEN ua >= x.t THEN 1 ELSE 0 END + CASE WHEN ub >= y.t THEN 1 ELSE 0 END AS predicted, CASE WHEN ua >= x.t THEN ha ELSE 0 END + CASE WHEN ub >= y.t THEN hb ELSE 0 END AS hits FROM flag, cut x, cut y")], f"SELECT ta, tb, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1, 2"))
 def threshold_grid(spark, d):
     return metrics.threshold_grid(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d), list(_GRID), list(_GRID))
 
@@ -337,7 +337,7 @@ def joint_thresholds(spark, d):
     return metrics.joint_thresholds(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d))
 
 
-@query(o.with_([*BOTH, ("two", _TWO), ("nothing", "SELECT * FROM ranked2 WHERE false"), o.policy_cte("pt", "nothing", "gt2"), ("m", f"SELECT unnest([{', '.join(map(str, MARGINS))}]) AS gate"), ("st", f"SELECT gate, pt.truth, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate THEN 1 ELSE 0 END AS predicted, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate AND g.source1_entity_id IS NOT NULL THEN 1 ELSE 0 END AS hits FROM m, pt LEFT JOIN two ON two.source1_entity_id = pt.source1_entity_id LEFT JOIN gt2 g ON g.source1_entity_id = two.source1_entity_id AND g.candidate_entity_id = two.c1")], f"SELECT gate, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1"))
+@query(o.with_([*BOTH, ("two", _TWO), ("nothing", "SELECT * FROM ranked2 WHERE false"), o.policy_cte("pt", "nothing", "gt2"), ("m", f"SELECT unnest([{', '.join(map(str, MARGINS))}]::DOUBLE[]) AS gate"), ("st", f"SELECT gate, pt.truth, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate THEN 1 ELSE 0 END AS predicted, CASE WHEN u1 >= {THRESHOLD} AND coalesce(u1 - u2, 'inf'::DOUBLE) >= gate AND g.source1_entity_id IS NOT NULL THEN 1 ELSE 0 END AS hits FROM m, pt LEFT JOIN two ON two.source1_entity_id = pt.source1_entity_id LEFT JOIN gt2 g ON g.source1_entity_id = two.source1_entity_id AND g.candidate_entity_id = two.c1")], f"SELECT gate, round(avg({o.f05()}), 9) AS macro_f05, CAST(sum(predicted) AS BIGINT) AS n_predicted, CAST(sum(hits) AS BIGINT) AS n_hits FROM st GROUP BY 1"))
 def margin_grid(spark, d):
     truth = _truth(spark, d, "S2")
     table = metrics.policy_table(records(spark, d, "S1"), truth, spark.createDataFrame([], f"{S1} string, {C} string"))
