@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, preference, sampling, secrets, simhash, substring_dedup, token_counts, url_filter
+from . import decontaminate, language_id, media, oracle, preference, sampling, secrets, simhash, substring_dedup, token_counts, url_filter
 from .common import read
 
 
@@ -14,7 +14,7 @@ def op1_preference_format(spark, sf_dir):
 
 def op2_gumbel_topk(spark, sf_dir):
     samples = sampling.encode_samples(read(spark, sf_dir, "documents"))
-    return samples.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("log_inclusion", 6).alias("log_inclusion"), "exact")
+    return samples.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("log_inclusion", 6).alias("log_inclusion"))
 
 
 def op3_decontaminate(spark, sf_dir):
@@ -60,4 +60,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_preference_format": oracle.PREFERENCE, "op3_decontaminate": oracle.DECONTAMINATE, "op7_substring_dedup": oracle.SUBSTRINGS}
