@@ -10,7 +10,8 @@ path from the lattice's conditional distributions and splits the rest of the nod
 leaves that one.
 
 The lattice's units (see ``unigram.units``) are independent, so backward scores are worked out
-once for each distinct unit and paths are drawn for all units and texts of a slice in step. Noise
+once for each distinct rest of a unit and paths are drawn for all units and texts of a slice in
+step. Noise
 is a hash of the row key, sample and place: results don't depend on partitions or retries.
 
 ``log_inclusion`` is the log of the probability that a segmentation is among those above the
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import unigram
-from .common import map_slices
+from .common import Powers, map_slices
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+POWERS = Powers(0xD6E8FEB86659FD93)
+_SPACE, _LINE = (unigram.code_points(c)[0][0] for c in " \n")
 
 
 def uniform(key: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
@@ -60,64 +63,104 @@ def kept_lattice(model: dict, max_nodes: int) -> Lattice:
 
 
 class Lattice:
-    """Conditional distributions of the next piece at every place of the distinct units.
+    """Conditional distributions of the next piece at every place of the units of texts.
 
-    Node ``i`` is a place before a character. ``cum[i]`` has the cumulated probabilities of pieces
-    of 1, 2, ... characters, ``ids[i]`` their ids (-1: none, or for one character its bytes),
-    ``beta[i]`` the log of the summed probability of all segmentations of the rest of the unit."""
+    What may follow depends on the rest of the unit alone, so a node stands for one distinct rest,
+    found by its 64-bit hash, however many units end in it. ``cum[node]`` has the cumulated
+    probabilities of pieces of 1, 2, ... characters, ``ids[node]`` their ids (-1: none, or for one
+    character its bytes), ``beta[node]`` the log of the summed probability of all segmentations of
+    the rest. Nodes are kept for later texts up to ``max_nodes``; results don't depend on that."""
 
-    def __init__(self, model: dict, max_nodes: int = 900_000):
+    SLOTS = 21
+
+    def __init__(self, model: dict, max_nodes: int = 400_000):
         self.lexicon, self.max_nodes = unigram.Lexicon(model), max_nodes
         self.width = max(16, self.lexicon.longest)
         self.lp_of = np.full(len(model["names"]) + 1, 0.0)
         for i, lp in model["pieces"].values():
             self.lp_of[i] = lp
+        self.id_kind = np.int16 if len(model["names"]) < 1 << 15 else np.int32
         self._clear()
 
     def _clear(self) -> None:
-        self.start: dict[str, int] = {}
         self.used = 0
-        self._grow(1 << 16, fresh=True)
-
-    def _grow(self, size: int, fresh: bool = False) -> None:
-        def larger(old, shape, kind):
-            new = np.zeros(shape, kind)
-            if not fresh:
-                new[: self.used] = old[: self.used]
-            return new
-
-        self.cum = larger(getattr(self, "cum", None), (size, self.width), np.float32)
-        self.ids = larger(getattr(self, "ids", None), (size, self.width), np.int32)
-        self.beta = larger(getattr(self, "beta", None), size, np.float64)
-        self.left = larger(getattr(self, "left", None), size, np.int32)
-        self.n_bytes = larger(getattr(self, "n_bytes", None), size, np.int8)
-        self.edges = larger(getattr(self, "edges", None), size, np.int8)
-
-    def add(self, units: list[str]) -> None:
+        self.slots = np.full(1 << self.SLOTS, -1, np.int32)
+        self.cum = np.zeros((0, self.width), np.float32)
+        self.ids = np.zeros((0, self.width), self.id_kind)
+        self.beta, self.left, self.n_bytes, self.edges, self.keys = (np.zeros(0, kind) for kind in (np.float64, np.int32, np.int8, np.int8, np.uint64))
+
+    def _room(self, names: tuple[str, ...], used: int, more: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            if used + more > len(old):
+                new = np.zeros((max(used + more, 2 * len(old)), *old.shape[1:]), old.dtype)
+                new[:used] = old[:used]
+                setattr(self, name, new)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _GOLDEN >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes of keys, -1 for new ones."""
+        slot = self._slot(keys)
+        node = self.slots[slot]
+        if not self.used:
+            return node
+        going = np.flatnonzero((node >= 0) & (self.keys[node] != keys))
+        while len(going):
+            slot[going] = (slot[going] + 1) & (1 << self.SLOTS) - 1
+            node[going] = self.slots[slot[going]]
+            going = going[(node[going] >= 0) & (self.keys[node[going]] != keys[going])]
+        return node
+
+    def _enter(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes of distinct new keys: the next numbers, in the keys' order."""
+        number = self.used + np.arange(len(keys))
+        self.keys[number] = keys
+        self.used += len(keys)
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.slots[slot[open_]] < 0]
+            self.slots[slot[free]] = number[free]  # of several keys for a slot one wins
+            open_ = open_[self.slots[slot[open_]] != number[open_]]
+            slot[open_] = (slot[open_] + 1) & (1 << self.SLOTS) - 1
+        return number
+
+    def places(self, joined: str, text_begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The node of every character of joined texts, and where units begin."""
+        characters, size = unigram.code_points(joined)
+        cut = (characters == _SPACE) | (characters == _LINE)
+        cut[text_begin] = True
+        begin = np.flatnonzero(cut)
+        length = np.diff(begin, append=len(characters))
+        end = begin + length
+        rest = np.repeat(end, length) - np.arange(len(characters))
+        up, down = POWERS(len(characters) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(characters * up[: len(characters)])])
+        keys = (np.repeat(total[end], length) - total[:-1]) * down[: len(characters)] + rest.astype(np.uint64) * _GOLDEN
         if self.used > self.max_nodes:
             self._clear()
-        known = self.start
-        new = sorted((u for u in set(units) if u not in known), key=len, reverse=True)
-        if not new:
-            return
-        characters, size = unigram.code_points("".join(new))
-        length = np.fromiter(map(len, new), np.int64, len(new))
-        begin = np.cumsum(length) - length
-        offset, self_end = self.used, self.used + len(characters)
-        if self_end > len(self.beta):
-            self._grow(max(self_end, 2 * len(self.beta)))
-        self.n_bytes[offset:self_end] = size
-        self.left[offset:self_end] = np.repeat(begin + length, length) - np.arange(len(characters))
-        end = begin + length
-        for rest in range(1, int(length[0]) + 1):
-            active = int(np.searchsorted(-length, -rest, side="right"))
-            at = end[:active] - rest
-            self._score(offset, at, rest, characters, size)
-        self.used = self_end
-        known.update(zip(new, (offset + begin).tolist(), strict=True))
-
-    def _score(self, offset: int, at: np.ndarray, rest: int, characters: np.ndarray, size: np.ndarray) -> None:
-        lex, node, most = self.lexicon, offset + at, min(rest, self.lexicon.longest)
+        node = self._found(keys)
+        new = np.flatnonzero(node < 0)
+        if len(new):
+            distinct, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            while self.used + len(distinct) > 1 << self.SLOTS - 1:  # a huge text: keep half of the slots free
+                self.SLOTS += 1
+                old, self.slots = self.keys[: self.used].copy(), np.full(1 << self.SLOTS, -1, np.int32)
+                self.used = 0
+                self._enter(old)
+            self._room(("cum", "ids", "beta", "left", "n_bytes", "edges", "keys"), self.used, len(distinct))
+            node[new] = self._enter(distinct)[which]
+            at = new[first]
+            at = at[np.argsort(rest[at], kind="stable")]
+            self.left[node[at]], self.n_bytes[node[at]] = rest[at], size[at]
+            edge = np.flatnonzero(np.diff(rest[at], prepend=0, append=0))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                self._score(node, at[a:b], int(rest[at[a]]), characters, size)
+        return node, begin
+
+    def _score(self, path: np.ndarray, at: np.ndarray, rest: int, characters: np.ndarray, size: np.ndarray) -> None:
+        lex, node, most = self.lexicon, path[at], min(rest, self.lexicon.longest)
         values = np.empty((len(at), most))
         ids = np.empty((len(at), most), np.int32)
         h = np.zeros(len(at), np.uint64)
@@ -127,7 +170,7 @@ class Lattice:
             value = lex.lp[row]
             if n == 1:
                 value = np.where(np.isneginf(value), size[at] * lex.byte_lp, value)
-            values[:, n - 1] = value + self.beta[node + n] if n < rest else value
+            values[:, n - 1] = value + self.beta[path[at + n]] if n < rest else value
             ids[:, n - 1] = lex.ids[row]
         top = values.max(1)
         share = np.exp(values - top[:, None])
@@ -145,31 +188,24 @@ class Lattice:
         passed = np.packbits(self.cum[node] <= u.astype(np.float32)[:, None], axis=1)
         return np.bitwise_count(passed).sum(1, dtype=np.int64) + 1
 
-    def log_p(self, node: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log of the conditional probability of the next piece, and its score."""
-        ids = self.ids[node, take - 1]
-        score = np.where(ids >= 0, self.lp_of[ids], self.n_bytes[node] * self.lexicon.byte_lp)
-        after = np.where(take < self.left[node], self.beta[np.minimum(node + take, len(self.beta) - 1)], 0.0)
-        return np.minimum(score + after - self.beta[node], 0.0), score
+    def log_p(self, node: np.ndarray, at: np.ndarray, take: np.ndarray) -> np.ndarray:
+        """Log of the conditional probability of the pieces that begin at ``at`` of ``node``."""
+        here = node[at]
+        ids = self.ids[here, take - 1]
+        score = np.where(ids >= 0, self.lp_of[ids], self.n_bytes[here] * self.lexicon.byte_lp)
+        after = np.where(take < self.left[here], self.beta[node[np.minimum(at + take, len(node) - 1)]], 0.0)
+        return np.minimum(score + after - self.beta[here], 0.0)
 
 
 def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples in falling order of perturbed log-probability: (characters of the
     pieces, log-probability, perturbed log-probability, log-inclusion)."""
-    parts = [unigram.units(t) for t in texts]
-    flat = [u for p in parts for u in p]
-    lattice.add(flat)
-    start = np.fromiter(map(lattice.start.__getitem__, flat), np.int64, len(flat))
-    length = np.fromiter(map(len, flat), np.int64, len(flat))
-    end = np.cumsum(length)
-    begin = end - length
-    total = int(end[-1])
-    node = np.repeat(start - begin, length) + np.arange(total)
     per_text = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     text_begin = np.cumsum(per_text) - per_text
-    text_of_unit = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    node, begin = lattice.places("".join(" " + t for t in texts), text_begin)
+    total, n = len(node), len(texts)
+    text_of_unit = np.searchsorted(text_begin, begin, side="right") - 1
     local = begin - text_begin[text_of_unit]  # places count from the start of their text
-    n = len(texts)
     owner, character = np.repeat(np.arange(n), per_text), np.arange(total)
 
     def draw(take: np.ndarray, at: np.ndarray, place: np.ndarray, key: np.ndarray, stream: int) -> None:
@@ -188,10 +224,13 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[
         """Score a new path of every live text and split what is left of its search node."""
         at = np.flatnonzero(take)
         text = owner[at]
-        log_p, _ = lattice.log_p(node[at], take[at])
-        so_far = np.cumsum(log_p) - log_p
+        log_p = lattice.log_p(node, at, take[at])
         first = np.searchsorted(text, np.arange(n))
-        so_far -= so_far[np.minimum(first, len(at) - 1)][text]
+        ends = np.append(first[1:], len(at))
+        upto = np.empty(len(at))
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):  # a text's sums don't see its neighbours
+            np.cumsum(log_p[a:b], out=upto[a:b])
+        so_far = upto - log_p
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             others = np.log(-np.expm1(log_p))
             others[lattice.edges[node[at]] < 2] = -np.inf
@@ -207,8 +246,7 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[
             noise = uniform(keys[text], at - text_begin[text], 2 * len(paths) + 1)
             value = mass - np.log(np.exp(mass - bound) - np.log(noise))
         value[np.isneginf(mass) | (at < deviation[text]) | ~live[text]] = -np.inf
-        ends = np.append(first[1:], len(at))
-        whole = so_far[np.maximum(ends - 1, 0)] + log_p[np.maximum(ends - 1, 0)]
+        whole = upto[ends - 1]
         for t in np.flatnonzero(live):
             samples[t].append((take[text_begin[t] : text_begin[t] + per_text[t]], float(whole[t]), float(g[t])))
         paths.append({"take": take, "at": at, "value": value, "first": first, "ends": ends, "deviation": deviation, "avoid": avoid})
@@ -217,9 +255,9 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[
         """Of every text the best bound, its path and its place; it is popped unless ``done``."""
         top, path, place = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for number, p in enumerate(paths):
-            if not len(p["at"]):
-                continue
-            value = np.maximum.reduceat(p["value"], p["first"])
+            some = np.flatnonzero(p["ends"] > p["first"])  # the others had no further sample
+            value = np.full(n, -np.inf)
+            value[some] = np.maximum.reduceat(p["value"], p["first"][some])
             better = np.flatnonzero(value > top)
             top[better], path[better] = value[better], number
         for number, p in enumerate(paths):
@@ -282,7 +320,7 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[
 def piece_ids(lattice: Lattice, node: np.ndarray, take: np.ndarray, text: str, byte_ids: np.ndarray) -> np.ndarray:
     """Ids of a text's pieces; ``take`` has their characters at their first character."""
     at = np.flatnonzero(take)
-    ids = lattice.ids[node[at], take[at] - 1]
+    ids = lattice.ids[node[at], take[at] - 1].astype(np.int32)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
@@ -307,9 +345,10 @@ def decode(ids, meaning: list[bytes]) -> str:
     return b"".join(map(meaning.__getitem__, ids)).decode()[1:]
 
 
-def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, model: str = unigram.MODEL, max_nodes: int = 900_000) -> DataFrame:
+def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, model: str = unigram.MODEL, max_nodes: int = 400_000, verify: bool = False) -> DataFrame:
     """One row a text and sample: ``sample`` (1 is the best), ``ids`` (array of int), ``log_prob``,
-    ``perturbed``, ``log_inclusion`` and ``exact``, whether decoding gives the text back."""
+    ``perturbed`` and ``log_inclusion``; with ``verify`` also ``exact``, whether decoding gives the
+    text back."""
     shared = df.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def make():
@@ -330,17 +369,17 @@ def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         ids = piece_ids(lattice, node[begin : begin + len(take)], take, text, byte_ids)
                         flat.append(ids)
                         sizes.append(len(ids))
-                        rows.append((i, number, log_prob, perturbed, inclusion, decode(ids.tolist(), meaning) == text))
+                        rows.append((i, number, log_prob, perturbed, inclusion, not verify or decode(ids.tolist(), meaning) == text))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
-            return {"id": batch.column(0).take(pa.array(columns[0], pa.int64())), "sample": pa.array(columns[1], pa.int32()), "ids": ids, "log_prob": pa.array(columns[2], pa.float64()), "perturbed": pa.array(columns[3], pa.float64()), "log_inclusion": pa.array(columns[4], pa.float64()), "exact": pa.array(columns[5], pa.bool_())}
+            return {"id": batch.column(0).take(pa.array(columns[0], pa.int64())), "sample": pa.array(columns[1], pa.int32()), "ids": ids, "log_prob": pa.array(columns[2], pa.float64()), "perturbed": pa.array(columns[3], pa.float64()), "log_inclusion": pa.array(columns[4], pa.float64()), **({"exact": pa.array(columns[5], pa.bool_())} if verify else {})}
 
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_slices(picked, "text", make, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean")
+    out = map_slices(picked, "text", make, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double{', exact boolean' if verify else ''}", 1 << 18)
     return out.withColumnRenamed("id", id_col)
 
 
