@@ -13,8 +13,8 @@ def op1_preference_format(spark, sf_dir):
 
 
 def op2_gumbel_topk(spark, sf_dir):
-    samples = sampling.encode_samples(read(spark, sf_dir, "documents"))
-    return samples.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("log_inclusion", 6).alias("log_inclusion"))
+    samples = sampling.encode_samples(read(spark, sf_dir, "documents"), verify=True)
+    return samples.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("log_inclusion", 6).alias("log_inclusion"), "exact")
 
 
 def op3_decontaminate(spark, sf_dir):
