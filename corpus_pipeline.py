@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, language_id, sampling, secrets, simhash
+from spindrift.llm import decontaminate, language_id, near_copies, sampling, secrets
 from spindrift.llm.common import checkpointed, read
 
 #: Rows of 8-byte keys that may be broadcast; more are joined by a shuffle.
@@ -37,10 +37,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with
+    the smallest id stays, once."""
     keyed, key = _key(docs)
-    named = keyed.select(F.struct("doc_id", key).alias("id"), "text")
-    groups = checkpointed(simhash.near_duplicates(named, "id").select(F.col(f"id.{key}").alias(key), (F.col("id") == F.col("component_id")).alias("stays")))
+    copies = checkpointed(near_copies.near_copies(keyed, key))
+    named = keyed.select("doc_id", key).distinct().join(copies.distinct(), key)
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", key)).alias("least")).select("root", F.col(f"least.{key}").alias("least"))
+    groups = checkpointed(copies.join(least, "root").select(key, (F.col(key) == F.col("least")).alias("stays")))
     repeated = groups.where("stays").groupBy(key).count().where(F.col("count") > 1)
     if repeated.limit(1).count():  # equal rows, id included
         keyed = keyed.dropDuplicates([key])

@@ -266,3 +266,29 @@ def test_pipeline_stages(spark, odd, sf_dir):
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is optional")
+def test_pipeline_finds_every_near_copy(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts, line = [], sentence(rng, 12)
+    for k in range(12):  # edits that leave a similarity about 0.8, texts that share lines only
+        base = sentence(rng, 200 + 10 * k).split()
+        texts.append(" ".join(base) + " " + line)
+        for edits in range(1, 8):
+            copy = list(base)
+            for at in rng.sample(range(0, len(copy), 6), edits):
+                copy[at] = "edited"
+            texts.append(" ".join(copy) + " " + line)
+    texts += [sentence(rng, 3), "", line, line.upper(), line]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            root[i] = min(root[j] for j, b in enumerate(sets) if alike(a, b))
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = [r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(root))
