@@ -10,8 +10,10 @@ text, on which a loss is taken. A conversation without a partner gives one row w
 columns, whose prompt ends before its last assistant turn.
 
 Scale: groups and conversations are compared by hashes in aggregates that combine before the
-shuffle. A group over ``bucket`` conversations is split by a hash of the conversation's id into
-parts of about that size, and pairs are formed inside a part. A conversation over ``part_turns``
+shuffle. The order is cut into ranges of group, reward and id, and the last row of a range is linked
+to the first of the next, so the order of a group is exact and no task holds a large group. Only a
+caller that names a ``bucket`` has groups over it split by a hash of the conversation's id into
+parts of about that size, with pairs inside a part. A conversation over ``part_turns``
 turns is rendered in several rows (``part`` 0, 1, ..., whose texts follow one another), so no task
 gathers an unbounded conversation.
 
@@ -27,13 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 def _turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.where("conv is not null and turn is not null").withColumn("h", F.xxhash64("role", "text"))
 
 
-def preference_pairs(turns: DataFrame, bucket: int = 8192) -> DataFrame:
+def preference_pairs(turns: DataFrame, bucket: int | None = None) -> DataFrame:
     """``chosen``, ``rejected`` (or null), ``n_copies`` of the chosen one and ``cut``, the first
     turn number that isn't prompt."""
     once = turns.groupBy("conv", "turn").agg(F.min(F.struct("h", F.when(F.col("role") == "assistant", F.length("text")).alias("said"))).alias("x"))
@@ -47,11 +51,20 @@ def preference_pairs(turns: DataFrame, bucket: int = 8192) -> DataFrame:
         F.max(F.when(F.col("said").isNotNull(), F.col("turn"))).alias("last_reply"),
     )
     distinct = talks.groupBy(F.xxhash64("opening.turn", "opening.h").alias("group"), "n", "sum", "xor", "reward", "last_reply").agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
-    sizes = distinct.groupBy("group").agg(F.ceil(F.count("*") / bucket).alias("parts"))
-    dealt = distinct.join(sizes, "group").withColumn("deal", F.pmod(F.xxhash64("conv"), F.col("parts")))
-    order = Window.partitionBy("group", "deal").orderBy(F.desc("reward"), "conv")
-    first = F.row_number().over(order) == 1
-    pairs = dealt.select("conv", "n_copies", "last_reply", F.lead("conv").over(order).alias("rejected"), first.alias("first"))
+    if bucket:
+        sizes = distinct.groupBy("group").agg(F.ceil(F.count("*") / bucket).alias("parts"))
+        distinct = distinct.join(sizes, "group").withColumn("group", F.xxhash64("group", F.pmod(F.xxhash64("conv"), F.col("parts")))).drop("parts")
+    spread = checkpointed(distinct.repartitionByRange("group", F.desc("reward"), "conv").withColumn("range", F.spark_partition_id()))
+    place = F.struct("group", (-F.col("reward")).alias("down"), "conv")
+    # one row a range: bounded by the number of partitions
+    ends = spread.groupBy("range").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    ranges = Window.orderBy("range")
+    ends = ends.select("range", F.lead("low").over(ranges).alias("after"), F.lag("high").over(ranges).alias("before"))
+    order = Window.partitionBy("range").orderBy("group", F.desc("reward"), "conv")
+    linked = spread.withColumns({"next": F.lead(place).over(order), "last": F.lag(place).over(order)}).join(F.broadcast(ends), "range")
+    after, before = F.coalesce("next", "after"), F.coalesce("last", "before")
+    first = ~before["group"].eqNullSafe(F.col("group"))
+    pairs = linked.select("conv", "n_copies", "last_reply", F.when(after["group"] == F.col("group"), after["conv"]).alias("rejected"), first.alias("first"))
     # the last of an order has been rejected already; it stands alone only if it is the only one
     pairs = pairs.where("rejected is not null or first").withColumnRenamed("conv", "chosen")
     # the first turn at which the two differ, from hashes alone
@@ -80,7 +93,7 @@ def _spans(side: Column) -> Column:
     return F.aggregate(side, start, step, lambda a: a["spans"])
 
 
-def format_preferences(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bucket: int = 8192, part_turns: int = 4096) -> DataFrame:
+def format_preferences(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bucket: int | None = None, part_turns: int = 4096) -> DataFrame:
     """One row a pair (and part): prompt, both completions, their masks and turn counts."""
     turns = _turns(df, conv, turn, role, text)
     pairs = preference_pairs(turns, bucket)

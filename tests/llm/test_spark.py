@@ -232,6 +232,20 @@ def test_preferences(spark):
     assert 45 < preference.format_preferences(many, bucket=10).where("rejected_id is not null").count() < 59
 
 
+def test_preferences_of_a_hot_opening_are_a_chain(spark):
+    n = 20_000  # more than one range holds
+    talks = spark.range(n).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("turn"))
+    said = F.concat(F.repeat(F.lit("x"), (F.col("conv_id") % 7).cast("int")), F.lit(" "), F.col("conv_id").cast("string"))
+    talks = talks.withColumns({"role": F.when(F.col("turn") == 0, "user").otherwise("assistant"), "text": F.when(F.col("turn") == 0, "same").otherwise(said)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        got = [(r.chosen_id, r.rejected_id) for r in preference.format_preferences(talks).select("chosen_id", "rejected_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(range(n), key=lambda i: (-(i % 7 + 1 + len(str(i))), i))
+    assert sorted(got) == sorted(zip(order, order[1:], strict=False))
+
+
 @pytest.mark.parametrize("name", ["op1_preference_format", "op3_decontaminate", "op7_substring_dedup"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
