@@ -138,36 +138,46 @@ def threshold_grid(table: DataFrame, tops_a: DataFrame, tops_b: DataFrame, utili
     return rows.groupBy("ta", "tb").agg(F.round(F.avg(f05(t, p, h)), 9).alias("macro_f05"), F.sum(p).alias("n_predicted"), F.sum(h).alias("n_hits"))
 
 
-def joint_thresholds(table: DataFrame, tops_a: DataFrame, tops_b: DataFrame, utility: str, truth: DataFrame, cells: int = 512) -> DataFrame:
-    """The best pair of thresholds over quantile cells of both utilities, exactly over that grid.
+def joint_thresholds(table: DataFrame, tops_a: DataFrame, tops_b: DataFrame, utility: str, truth: DataFrame) -> DataFrame:
+    """The best pair of thresholds over all observed utilities of both targets, exactly; of equal
+    pairs the one with the highest first threshold, then second. Infinity accepts none.
 
     A record's score depends on its two utilities only through four outcomes, so the surface is a
-    sum of two one-dimensional step functions and one two-dimensional one. Each is aggregated by
-    cell (at most cells squared rows, whatever the number of records) and summed up cumulatively.
-    With as many cells as distinct utilities the sweep is exact over all thresholds."""
-    edges = {}
-    for p, tops in (("a", tops_a), ("b", tops_b)):
-        distinct = tops.select(F.col(utility).alias("u")).distinct()
-        spots = [i / cells for i in range(cells + 1)]
-        edges[p] = sorted({x for x in distinct.agg(F.percentile_approx("u", spots, 100_000)).collect()[0][0] or []}, reverse=True)
+    sum of two one-dimensional step functions and one two-dimensional one. Gains are added up by
+    pair of utilities first; the driver then holds a row a distinct pair and one line of the
+    surface, and passes over the first thresholds in falling order."""
     flagged = lambda tops, p: tops.select(S1, C, F.col(utility).alias(f"u{p}")).join(truth.withColumn(f"h{p}", F.lit(1)), [S1, C], "left").drop(C)
     rows = table.select(S1, "truth").join(flagged(tops_a, "a"), S1, "left").join(flagged(tops_b, "b"), S1, "left")
-    # the number of the first (highest) edge that accepts; null: no candidate or below all edges
-    place = lambda p: F.array_position(F.transform(F.array(*map(F.lit, edges[p])) if edges[p] else F.array().cast("array<double>"), lambda e: F.col(f"u{p}") >= e), True)
     hit = lambda p: F.coalesce(f"h{p}", F.lit(0))
     t = F.col("truth")
-    rows = rows.withColumns({"ia": F.nullif(place("a"), F.lit(0)), "ib": F.nullif(place("b"), F.lit(0)), "s0": f05(t, F.lit(0), F.lit(0)), "sa": f05(t, F.lit(1), hit("a")), "sb": f05(t, F.lit(1), hit("b")), "sab": f05(t, F.lit(2), hit("a") + hit("b"))})
-    cell = rows.groupBy("ia", "ib").agg(F.sum(F.col("sa") - F.col("s0")).alias("a"), F.sum(F.col("sb") - F.col("s0")).alias("b"), F.sum(F.col("sab") - F.col("sa") - F.col("sb") + F.col("s0")).alias("ab"), F.sum("s0").alias("none"), F.count("*").alias("n")).toPandas()
-    surface = np.zeros((len(edges["a"]) + 1, len(edges["b"]) + 1))
-    ia, ib = cell["ia"].to_numpy(float), cell["ib"].to_numpy(float)
-    one, two, both = ~np.isnan(ia), ~np.isnan(ib), ~np.isnan(ia) & ~np.isnan(ib)
-    np.add.at(surface, (ia[one].astype(int), 0), cell["a"].to_numpy()[one])
-    np.add.at(surface, (0, ib[two].astype(int)), cell["b"].to_numpy()[two])
-    np.add.at(surface, (ia[both].astype(int), ib[both].astype(int)), cell["ab"].to_numpy()[both])
-    surface = (surface.cumsum(0).cumsum(1) + cell["none"].sum()) / max(1, cell["n"].sum())
-    i, j = np.unravel_index(np.argmax(np.round(surface, 12)), surface.shape)
-    inf = [float("inf")]
-    return table.sparkSession.createDataFrame([((inf + edges["a"])[i], (inf + edges["b"])[j], round(float(surface[i, j]), 9))], "threshold_a double, threshold_b double, macro_f05 double")
+    rows = rows.withColumns({"s0": f05(t, F.lit(0), F.lit(0)), "sa": f05(t, F.lit(1), hit("a")), "sb": f05(t, F.lit(1), hit("b")), "sab": f05(t, F.lit(2), hit("a") + hit("b"))})
+    # a null utility is no candidate
+    pairs = rows.groupBy("ua", "ub").agg(F.sum(F.col("sa") - F.col("s0")).alias("a"), F.sum(F.col("sb") - F.col("s0")).alias("b"), F.sum(F.col("sab") - F.col("sa") - F.col("sb") + F.col("s0")).alias("ab"), F.sum("s0").alias("none"), F.count("*").alias("n")).toPandas()
+    ua, ub = pairs["ua"].to_numpy(float), pairs["ub"].to_numpy(float)
+    cuts = [np.concatenate([[np.inf], np.unique(u[~np.isnan(u)])[::-1]]) for u in (ua, ub)]
+    # the number of the highest threshold that accepts
+    ia, ib = (np.where(np.isnan(u), 0, np.searchsorted(-c, -u)) for u, c in zip((ua, ub), cuts, strict=True))
+    line = np.zeros(len(cuts[1]))
+    np.add.at(line, ib[ib > 0], pairs["b"].to_numpy(float)[ib > 0])
+    line = line.cumsum() + pairs["none"].sum()
+    order = np.argsort(ia, kind="stable")
+    order = order[ia[order] > 0]
+    ia, ib, a, ab = ia[order], ib[order], pairs["a"].to_numpy(float)[order], pairs["ab"].to_numpy(float)[order]
+    starts = np.searchsorted(ia, np.arange(len(cuts[0]) + 1))
+    records, best = max(1, pairs["n"].sum()), (-np.inf, 0, 0)
+    for i in range(len(cuts[0])):
+        these = slice(starts[i], starts[i + 1])
+        if i:
+            both = ib[these] > 0
+            gain = np.bincount(ib[these][both], ab[these][both], len(line))
+            gain[0] += a[these].sum()
+            line += gain.cumsum()
+        scores = np.round(line / records, 12)
+        j = int(np.argmax(scores))
+        if scores[j] > best[0]:
+            best = (scores[j], i, j)
+    score, i, j = best
+    return table.sparkSession.createDataFrame([(float(cuts[0][i]), float(cuts[1][j]), round(float(score), 9))], "threshold_a double, threshold_b double, macro_f05 double")
 
 
 def margin_grid(table: DataFrame, two: DataFrame, truth: DataFrame, threshold: float, margins) -> DataFrame:

@@ -130,6 +130,23 @@ def test_joint_sweep_matches_the_grid(spark):
     assert (joint.threshold_a, joint.threshold_b) == (9.0, 8.0)
 
 
+def test_joint_sweep_is_exact_over_many_utilities(spark):
+    # candidates are true from one utility on: just one pair of thresholds is right
+    n, right = 1500, (701, 1103)
+    records = spark.createDataFrame([(f"S1-{i}",) for i in range(n)], "entity_id string")
+    pairs, tops = [], {"a": [], "b": []}
+    for side, name, at in (("a", "S2", right[0]), ("b", "S3", right[1])):
+        for i in range(n):
+            tops[side].append((f"S1-{i}", f"{name}-{i}", float(i)))
+            if i >= at:
+                pairs.append((f"S1-{i}", f"{name}-{i}"))
+    truth = spark.createDataFrame(pairs, f"{S1} string, {C} string")
+    a, b = (spark.createDataFrame(tops[p], f"{S1} string, {C} string, u double") for p in "ab")
+    none = metrics.policy_table(records, truth, a.limit(0))
+    got = metrics.joint_thresholds(none, a, b, "u", truth).collect()[0]
+    assert (got.threshold_a, got.threshold_b, got.macro_f05) == (701.0, 1103.0, 1.0)
+
+
 def test_splits_are_disjoint_and_portable(spark):
     ids = spark.createDataFrame([(f"S1-{i}",) for i in range(2000)], "entity_id string")
     old = ids.where(splits.in_validation(F.col("entity_id")))
