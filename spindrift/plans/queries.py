@@ -514,7 +514,7 @@ def pairwise_ranking(spark, d):
 @query()
 def pointwise_ranking(spark, d):
     rows = _labelled(spark, d)
-    model = training.fit_pointwise(rows.where("is_validation = 0"), trees=5, depth=3, least=5)
+    model = training.fit_pointwise(rows.where("is_validation = 0"))
     return training.pointwise_ranked(model, rows).select(S1, C, F.round("probability_1", 6).alias("probability_1"), "rank", "label")
 
 

@@ -1,5 +1,6 @@
 """Hand-computed cases of the record-linkage operators."""
 
+import inspect
 import math
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import normalize, similarity
 from spindrift.operators import blocking, evidence, metrics, policy, scoring, splits, training, validate
 from spindrift.operators.scoring import C, S1
+from spindrift.plans import queries
 from spindrift.sources import files, packaging
 from spindrift.streaming import incremental
 
@@ -173,6 +175,20 @@ def test_pairwise_ranker_learns_and_round_trips(spark):
     assert first.agg(F.avg("label")).collect()[0][0] > 0.95
 
 
+def test_pointwise_query_trains_like_production(spark, sf_dir, monkeypatch):
+    asked = {}
+
+    def fit(rows, **given):
+        asked.update({k: p.default for k, p in wanted.parameters.items() if p.default is not p.empty} | given)
+        raise StopIteration
+
+    wanted = inspect.signature(training.fit_pointwise)
+    monkeypatch.setattr(queries.training, "fit_pointwise", fit)
+    with pytest.raises(StopIteration):
+        queries.queries()["pointwise_ranking"](spark, sf_dir)
+    assert (asked["trees"], asked["depth"], asked["least"]) == (200, 5, 50)
+
+
 def test_validator_rules(spark):
     lines = spark.createDataFrame([(x,) for x in (f"{S1}\tmatched_entity_ids", "S1-1\tS2-1,S2-1", "S1-1\t", "S1-2 S2-1", "", "S1-3\tS1-1,X-1", "S1-9\tS2-404")], "value string")
     parsed = validate.parsed_lines(lines, f"{S1}\tmatched_entity_ids")
