@@ -15,7 +15,8 @@ The trigram models are fitted on a bounded sample of labelled rows: for each of
 hash of their id. Everything else covers all rows. A row is accepted if its best hypothesis is a
 language with a posterior of ``accept`` or more.
 
-Defined cases: a null or empty text is no evidence and is rejected as ``und``; a null declaration,
+Defined cases: a null or empty text is no evidence and is rejected as ``und``; a text of one or two
+bytes has no trigram and is decided by the other evidence; a null declaration,
 suffix or host is no evidence (its prior is that of all rows); repeated rows give repeated results;
 an empty table, or one without any declaration, gives only ``und``. Only named columns are read, so
 extra columns cannot clash.
@@ -125,11 +126,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     def given(x):
         return F.lit(None).cast("string") if x is None else (F.col(x) if isinstance(x, str) else x).cast("string")
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), given(declared).alias("declared"), given(host).alias("host"), given(suffix).alias("suffix"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), given(declared).alias("declared"), given(host).alias("host"), given(suffix).alias("suffix")).withColumn("some", F.when(F.length("text") > 0, "some"))
     names, table = fit(rows, "id", "text", "declared", per_language, max_languages)
     size = len(names)
     # written once: the text is read once, and the priors and the result read this small table
-    heard = checkpointed(text_evidence(rows, "id", "text", ["declared", "host", "suffix"], table, worth))
+    heard = checkpointed(text_evidence(rows, "id", "text", ["declared", "host", "suffix", "some"], table, worth))
 
     counted = heard.where("n > 0").groupBy("host", "suffix", "heard").agg(F.count("*").alias("rows"))
     every = [F.sum(F.when(F.col("heard") == k, F.col("rows")).otherwise(0)).cast("double").alias(f"k{k}") for k in range(size)]
@@ -158,10 +159,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     prior = F.coalesce("prior", root)
     logs = F.array(*(F.col("evidence")[k] + F.log(prior[k]) + (a + b if k < size - 1 else F.lit(0.0)) for k, (a, b) in enumerate(parts)))
     top = F.array_max("logs")
-    out = joined.select("id", "n", logs.alias("logs"))
+    out = joined.select("id", "some", logs.alias("logs"))
     best = F.array_position("logs", top) - 1
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    out = out.select("id", F.when(F.col("n") > 0, F.element_at(F.array(*map(F.lit, names)), (best + 1).cast("int"))).otherwise(UNKNOWN).alias("language"), F.when(F.col("n") > 0, posterior).otherwise(0.0).alias("posterior"))
+    out = out.select("id", F.when(F.col("some").isNotNull(), F.element_at(F.array(*map(F.lit, names)), (best + 1).cast("int"))).otherwise(UNKNOWN).alias("language"), F.when(F.col("some").isNotNull(), posterior).otherwise(0.0).alias("posterior"))
     return out.select(F.col("id").alias(id_col), "language", F.round("posterior", 6).alias("posterior"), ((F.col("language") != UNKNOWN) & (F.col("posterior") >= accept)).alias("accepted"))
 
 

@@ -183,6 +183,13 @@ def test_language(odd, none, spark):
     assert language_id.identify(df, declared=None).where("accepted").count() == 0
 
 
+def test_language_of_texts_without_a_trigram(spark):
+    rows = [(i, "the wander of a sound " * 9, "en", "h0") for i in range(30)] + [(i, "schön zug über köln " * 9, "de", "h1") for i in range(30, 60)]
+    rows += [(60, "A.", "en", "h0"), (61, "ü", "de", "h1"), (62, "", "en", "h0"), (63, None, "en", "h0")]
+    got = {r.doc_id: (r.language, r.accepted) for r in language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert [got[i] for i in range(60, 64)] == [("en", True), ("de", True), ("und", False), ("und", False)]
+
+
 def test_urls(spark):
     urls = ["http://A.com/x", "http://a.example.com/en/1", "https://www.example.com/en/2?q", "http://x.net/es/3", "http://x.net/de/3", "http://com", "nothing", None, "ftp://u@h:1/p#f", "http://q.net/fr/é"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("rule", F.lit("clash")).withColumn("html", F.lit("x"))
