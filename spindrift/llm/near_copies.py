@@ -4,18 +4,26 @@ Two texts are near copies if the sets of their 5-word shingles (words and hashes
 fewer words make one shingle) have a Jaccard similarity of 0.8 or more. Groups are what such pairs
 connect. SimHash alone loses pairs at any radius that can be indexed, so it only proposes:
 
-1. Texts with the same set are one node from here on.
+1. Texts with the same set are one node from here on. One pass over the texts writes each node's
+   size, fingerprint, prefix and parity bits.
 2. Prefixes. Put all shingles in one order: of n shingles, a near copy shares one of the first
    n - ceil(0.8 n) + 1 with it, so texts without a shared shingle there are never compared, and no
-   near copy is lost. The order is rarest first by a sample of texts, as rare shingles are shared by
-   few; it may be any, so the sample decides the cost and not the result.
+   near copy is lost. The order is rarest first by the counts of one text in ``SHARE``, as rare
+   shingles are shared by few; it may be any, so the counts decide the cost and not the result.
 3. First candidates: SimHash links, and each node with the smallest that shares a prefix shingle.
-   The exact similarity decides. This joins large groups at a linear cost.
-4. Then all pairs that share a prefix shingle and are not connected yet; again the exact similarity
-   decides. Shingles whose nodes are all connected are left out, which doesn't change groups.
+   This joins large groups at a linear cost.
+4. Then all pairs that share a prefix shingle and are not connected yet. The rows of shingles that
+   hold the same smallest root are compared together, so that a pair that shares many shingles is
+   met once; over ``CLUSTER`` rows are dealt in blocks of nodes, each two of which meet in a task.
+   Shingles whose nodes are all connected are left out, which doesn't change groups.
+
+Every candidate must pass two bounds that no near copy fails: the sizes, and the parity bits (bit b
+is the parity of the number of shingles that hash to b): two sets differ in at least as many
+shingles as their parities differ in bits. The exact similarity of the sets decides the rest.
 
 Defined cases: texts without words are one node; a null text has no words; repeated rows give
-repeated results; an empty table gives an empty result; only the two named columns are read.
+repeated results; an empty table gives an empty result; a text of any length is read whole, alone
+in its slice; only the two named columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,19 +33,24 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices
 from .components import components
-from .simhash import fingerprints, linked_fingerprints, shingle_hashes
+from .simhash import fingerprints_of, linked_fingerprints, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts, about, whose shingles tell which are common, and common shingles that are told apart.
-SAMPLE = 20_000
-COMMON = 200_000
-#: Rows of 8-byte keys that may be broadcast.
+#: One text in so many is counted for the order; common shingles that are told apart (16 bytes each).
+SHARE = 16
+COMMON = 500_000
+#: Parity bits of a node, in words of 64.
+PARITY = 16
+#: Rows of open shingles that are compared in one task, and rows that are held at once.
+CLUSTER = 1 << 15
+HELD = 1 << 15
+#: Rows of 16-byte keys that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
 
@@ -50,75 +63,161 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarit
     return hashes[np.lexsort((hashes, np.where(common[place] == hashes, counts[place], 0)))[:most]]
 
 
-def _nodes(df: DataFrame, key: str, text: str, size: int, what: str, common=None, counts=None, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, node, n) a text, node being a hash of its set of n shingles, and its fingerprint
-    ``fp``, or ``s``: its whole set or the prefix of it. Map only."""
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """``PARITY`` words a set: the parity of its shingles by a part of their hash."""
+    bits = 64 * PARITY
+    of = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    at = ((np.concatenate(sets) if sets else np.zeros(0, np.uint64)) >> np.uint64(7)).astype(np.int64) % bits
+    odd = np.bincount(of * bits + at, minlength=len(sets) * bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), PARITY)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
+
+
+def _nodes(df: DataFrame, key: str, text: str, size: int, common=None, counts=None, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, s) a text: a hash of its set of shingles, and the set. With ``common`` and ``counts``
+    its key, the set's size ``n``, fingerprint ``fp``, prefix ``s`` and parity bits as well."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            texts = batch.column(1).to_pylist()
-            sets = [np.unique(np.array(shingle_hashes(t, size) if t else [], np.uint64)) for t in texts]
-            out = {"key": batch.column(0), "node": pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int32())}
-            if what == "fp":
-                return out | {"fp": pa.array(fingerprints(texts, size).view(np.int64))}
-            shown = [prefix(s, common, counts, similarity) for s in sets] if what == "prefix" else sets
-            ends = np.cumsum([0, *map(len, shown)]).astype(np.int32)
-            return out | {"s": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shown).view(np.int64)))}
+            each = [shingle_hashes(t, size) if t else [] for t in batch.column(1).to_pylist()]
+            sets = [np.unique(np.array(x, np.uint64)) for x in each]
+            out = {"key": batch.column(0), "node": pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))}
+            if common is None:
+                return out | {"s": _lists(sets)}
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY), pa.array(parities(sets).ravel()))
+            shown = [prefix(s, common, counts, similarity) for s in sets]
+            return out | {"s": _lists(shown), "n": pa.array([len(s) for s in sets], pa.int32()), "fp": pa.array(fingerprints_of(each).view(np.int64)), "odd": odd}
 
         return step
 
     picked = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return map_slices(picked, "text", make, "key bigint, node bigint, n int, " + ("fp bigint" if what == "fp" else "s array<bigint>"), 1 << 18)
+    more = "" if common is None else ", n int, fp bigint, odd array<bigint>"
+    return map_slices(picked, "text", make, f"key {df.schema[key].dataType.simpleString()}, node bigint, s array<bigint>{more}", 1 << 18)
 
 
-def _common(df: DataFrame, key: str, text: str, size: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample share, sorted, and how many do."""
-    parts = max(1, df.count() // sample)
-    some = _nodes(df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(parts)) == 0), key, text, size, "set")
-    often = some.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
+def _common(df: DataFrame, key: str, text: str, size: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the counted texts share, sorted, and how many do; the most frequent
+    ``most`` of them."""
+    some = _nodes(df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(share)) == 0), key, text, size)
+    often = some.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(most).toPandas()
     hashes = often["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], often["count"].to_numpy(np.int64)[order]
 
 
-def near_copies(df: DataFrame, key: str, text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
-    """(key, root): one row a text; near copies have the same root. ``key`` is a long that is never
-    null."""
-    common, counts = _common(df, key, text, size, sample)
-    rows = checkpointed(_nodes(df, key, text, size, "fp"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("fp").alias("fp")))
-    sized = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
+def _may_reach(similarity: float, na: Column, nb: Column, a: Column, b: Column) -> Column:
+    """The two bounds. Sets of that similarity differ in (1 - s) / (1 + s) of their sizes at most."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (apart <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def compared(rows: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (a < b) of two roots that share a task and shingle and pass the bounds. Rows
+    have ``task``, ``s``, ``node``, ``root``, ``n``, ``own`` and ``other`` (blocks) and ``odd``."""
+    names, first, which = np.unique(rows["node"], return_index=True, return_inverse=True)
+    n, odd = rows["n"][first].astype(np.int64), rows["odd"][first].view(np.uint64)
+    order = np.lexsort((rows["s"], rows["task"]))
+    task, s = rows["task"][order], rows["s"][order]
+    begin = np.flatnonzero((np.diff(task, prepend=task[0] - 1) != 0) | (np.diff(s, prepend=s[0] - 1) != 0))
+    ends = np.append(begin[1:], len(order))
+    after = np.repeat(ends, ends - begin) - np.arange(len(order)) - 1  # later rows of its shingle
+    upto, at, found = np.cumsum(after), 0, []
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), side="right")))
+        x = np.repeat(np.arange(at, to), after[at:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
+        x, y, at = order[x], order[y], to
+        keep = (rows["root"][x] != rows["root"][y]) & (rows["own"][x] == rows["other"][y]) & (rows["own"][y] == rows["other"][x])
+        x, y = which[x[keep]], which[y[keep]]
+        pair = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))
+        a, b = pair // len(names), pair % len(names)
+        keep = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+        a, b = a[keep], b[keep]
+        apart = np.zeros(len(a), np.int64)
+        for word in range(odd.shape[1]):
+            apart += np.bitwise_count(odd[a, word] ^ odd[b, word])
+        keep = apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + 1e-9
+        found.append(a[keep] * len(names) + b[keep])
+    pair = np.unique(np.concatenate(found))
+    a, b = names[pair // len(names)], names[pair % len(names)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _open_pairs(open_: DataFrame, similarity: float, cluster: int) -> DataFrame:
+    """(a, b) of nodes under different roots that share a shingle and pass the bounds. ``open_``:
+    (s, low, node, root, n, odd)."""
+    sizes = open_.groupBy("low").count().select("low", F.ceil(F.col("count") / cluster).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = open_.join(sizes, "low").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("low", F.least("own", "other"), F.greatest("own", "other"))
+    rows = dealt.select(task.alias("task"), "s", "node", "root", "n", "own", "other", "odd").repartition("task").sortWithinPartitions("task", "s")
+
+    def run(batches):
+        def plain(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "odd"}
+            return out | {"odd": batch.column("odd").flatten().to_numpy(zero_copy_only=False).reshape(-1, PARITY)}
+
+        held: list[dict] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(plain(batch))
+            if sum(len(x["s"]) for x in held) < HELD:
+                continue
+            rows = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+            last = (rows["task"] == rows["task"][-1]) & (rows["s"] == rows["s"][-1])  # may go on in the next batch
+            held = [{c: v[last] for c, v in rows.items()}]
+            if not last.all():
+                a, b = compared({c: v[~last] for c, v in rows.items()}, similarity)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        if held:
+            a, b = compared({c: np.concatenate([x[c] for x in held]) for c in held[0]}, similarity)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_copies(df: DataFrame, key: str, text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, share: int = SHARE, common: int = COMMON, cluster: int = CLUSTER) -> DataFrame:
+    """(key, root): one row a text; near copies have the same root. ``key`` names rows and is never
+    null; rows with equal keys have equal texts."""
+    rows = checkpointed(_nodes(df, key, text, size, *_common(df, key, text, size, share, common), similarity))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("odd").alias("odd")))
+    sized = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"o{side}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-        pairs = checkpointed(pairs)
+        """Of pairs (a, b) that pass the bounds, those of the similarity."""
+        pairs = checkpointed(pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"))
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         used = checkpointed(nodes.join(used, "node", "left_semi").select(F.col("key").alias("used")))
         texts = df.join(F.broadcast(used) if used.count() <= MAX_BROADCAST else used, df[key] == F.col("used"), "left_semi")
-        sets = _nodes(texts, key, text, size, "set").groupBy("node").agg(F.first("s").alias("s"))
+        sets = _nodes(texts, key, text, size).groupBy("node").agg(F.first("s").alias("s"))
         side = lambda p: sets.select(F.col("node").alias(p), F.col("s").alias(f"s{p}"))
         shared = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", shared.alias("shared"))
         return checkpointed(both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
 
-    firsts = _nodes(df, key, text, size, "prefix", common, counts, similarity).select("node", F.explode("s").alias("s"))
-    shared = checkpointed(firsts.groupBy("s").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last"))
-    keyed = checkpointed(firsts.join(shared.select("s", "first"), "s").distinct())
+    firsts = rows.select("node", F.explode("s").alias("s"))
+    shared = checkpointed(firsts.groupBy("s").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("s", "first"))
+    keyed = checkpointed(firsts.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "s").distinct())
 
     prints = nodes.groupBy("fp").agg(F.min("node").alias("a"))
     links = linked_fingerprints(checkpointed(prints.select("fp"))).distinct()
     linked = links.join(prints.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
     proposed = linked.select("x", "y").unionByName(nodes.join(prints, "fp").select(F.col("a").alias("x"), F.col("node").alias("y"))).unionByName(keyed.select(F.col("first").alias("x"), F.col("node").alias("y")))
-    proposed = checkpointed(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+    proposed = proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+    may = _may_reach(similarity, F.col("na"), F.col("nb"), F.col("oa"), F.col("ob"))
+    proposed = checkpointed(proposed.join(sized("a"), "a").join(sized("b"), "b").where(may).select("a", "b"))
     edges = verified(proposed)
 
     roots = checkpointed(components(edges, "a", "b"))
-    rooted = keyed.join(roots, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
-    rooted = checkpointed(rooted)
+    rooted = checkpointed(keyed.join(roots, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root")))
     mixed = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = checkpointed(rooted.join(mixed.select("s"), "s", "left_semi").join(nodes.select("node", "n"), "node"))
-    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    apart = open_.select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")).join(open_.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")), "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-    edges = edges.unionByName(verified(apart.select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")))
+    open_ = checkpointed(rooted.join(mixed.select("s", "low"), "s").join(nodes.select("node", "n", "odd"), "node"))
+    apart = checkpointed(_open_pairs(open_, similarity, cluster).join(proposed, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(verified(apart))
     roots = components(edges, "a", "b")
     return rows.join(roots, "node", "left").select(F.col("key").alias(key), F.coalesce("root", "node").alias("root"))

@@ -56,8 +56,12 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
 
 
 def fingerprints(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of all texts (uint64). Eight 8-bit counters are added in one word."""
-    each = [shingle_hashes(t, size) if t else [] for t in texts]
+    """Fingerprints of all texts (uint64)."""
+    return fingerprints_of([shingle_hashes(t, size) if t else [] for t in texts])
+
+
+def fingerprints_of(each: list[list[int]]) -> np.ndarray:
+    """Fingerprints of lists of shingle hashes. Eight 8-bit counters are added in one word."""
     counts = np.fromiter(map(len, each), np.int64, len(each))
     out = np.zeros(len(each), np.uint64)
     some = np.flatnonzero(counts)
