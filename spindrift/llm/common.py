@@ -22,7 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small: bytes bound them, not only rows."""
+    """Keep Arrow batches of long texts small: bytes bound them, not only rows. Spark reads these
+    settings when a plan runs, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
@@ -77,10 +78,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 
     The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is
-    unset, as in local tests."""
+    unset and all tasks run on this machine, as in local tests."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
     return df.checkpoint(eager=True)

@@ -15,9 +15,10 @@ distances of a fingerprint to all of them are counted at once, by carry-save add
 planes, and a block is abandoned once all its distances exceed the radius. A bucket gives at most
 one edge a fingerprint (a spanning forest), and components are joined by star rounds.
 
-Defined cases: a null text has no words; repeated rows give repeated results; a null id is carried
-and never names a component unless all ids of it are null; an empty table gives an empty result;
-only the two named columns are read, so extra columns cannot clash.
+Defined cases: a null text has no words; a text of any length is read whole, alone in its slice; a
+bit that is set in just half of the hashes is 0; repeated rows give repeated results; a null id is
+carried and never names a component unless all ids of it are null; an empty table gives an empty
+result; only the two named columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices
-from .components import components
+from .components import components, join_facts
 
 SHINGLE = 4
 RADIUS = 4
@@ -259,10 +260,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a text: ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that
     links reach."""
     prints = checkpointed(fingerprint_column(df, id_col, text_col, size))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_rows")))
     roots = components(linked_fingerprints(distinct, radius, bucket), "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = checkpointed(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root")))
+    # a large component, and a fingerprint of many texts, don't meet in one task
+    totals = rooted.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).collect()[0]
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
+    named = join_facts(rooted.select("fp", "root", F.col("n_rows").alias("texts")), names, "root", totals[0])
+    named = checkpointed(named.select("fp", F.col("texts").alias("n_rows"), "component_id"))
+    out = join_facts(prints, named, "fp", totals[1])
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
