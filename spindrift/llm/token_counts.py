@@ -3,14 +3,15 @@
 Pre-tokens are the units of ``unigram.units``. The distinct ones of a slice of rows form a trie:
 sorted, those that share a prefix stand together, so the trie's nodes of one depth are the runs of
 equal prefixes. A node's forward score (the best segmentation of its prefix, ties to fewer tokens)
-is worked out once from its ancestors' scores, all nodes of a depth in one step. Each pre-token's
-terminal stores its count, and terminals are kept for later slices up to ``max_terminals``; counts
-do not depend on that bound. Pre-tokens over ``trie_depth`` characters are rare; they run the same
-recurrence on their own, so one huge word does not make the trie deep.
-
-Defined cases: a null or empty text has 0 pre-tokens and 0 tokens, repeated rows give repeated
-results, an empty table gives an empty result; only the named input columns are read, so extra
-columns cannot clash.
+is worked out once from its ancestors' scores, all nodes of a depth in one step. Where a depth has
+fewer than ``NARROW`` pre-tokens left, the rest of the trie is walked one branch after the other:
+each keeps the scores of the prefix that it shares with the branch before it. Each pre-token's
+terminal stores its count; terminals of up to ``KEPT_LENGTH`` characters are kept for later slices,
+``max_characters`` of them in all. Counts depend on none of these bounds.
+
+Defined cases: a null or empty text has 0 pre-tokens and 0 tokens; a text of any length is read
+whole, alone in its slice; repeated rows give repeated results, an empty table gives an empty
+result; only the named input columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,21 +25,31 @@ from . import unigram
 from .common import map_slices
 
 
+NARROW = 16
+KEPT_LENGTH = 64
+
+
 class TrieCounter:
-    def __init__(self, model: dict, max_terminals: int = 400_000, trie_depth: int = 64):
-        self.lexicon, self.max_terminals, self.trie_depth = unigram.Lexicon(model), max_terminals, trie_depth
+    def __init__(self, model: dict, max_characters: int = 8_000_000, narrow: int = NARROW):
+        self.lexicon, self.max_characters, self.narrow = unigram.Lexicon(model), max_characters, narrow
+        self.ends = {name[n:] for name in self.lexicon.scores for n in range(len(name))}
         self.terminal: dict[str, int] = {}
+        self.characters = 0
 
     def counts(self, wanted: list[str]) -> dict[str, int]:
         """Terminals of all ``wanted`` pre-tokens (and of others)."""
-        if len(self.terminal) > self.max_terminals:
-            self.terminal = {}
+        if self.characters > self.max_characters:
+            self.terminal, self.characters = {}, 0
         known = self.terminal
-        new = sorted(x for x in set(wanted) if x not in known)
-        short = [x for x in new if len(x) <= self.trie_depth]
-        known.update(zip(short, self._trie(short), strict=True))
-        known.update((x, self._alone(x)) for x in new if len(x) > self.trie_depth)
-        return known
+        distinct = set(wanted)
+        new = sorted(x for x in distinct if x not in known)
+        found = dict(zip(new, self._trie(new), strict=True))
+        short = {x: n for x, n in found.items() if len(x) <= KEPT_LENGTH}
+        known.update(short)
+        self.characters += sum(map(len, short))
+        if len(short) == len(found):
+            return known
+        return found | {x: known[x] for x in distinct if x not in found}
 
     def _trie(self, words: list[str]) -> list[int]:
         if not words:
@@ -56,6 +67,10 @@ class TrieCounter:
         for depth in range(1, int(length.max()) + 1):
             keep = length[row] >= depth
             row, above = row[keep], above[keep]
+            if len(row) < self.narrow:
+                chains = [self._chain(a, scores, tokens, parents) for a in above.tolist()]
+                terminal[row] = self._walk([words[i] for i in row.tolist()], chains)
+                break
             at = begin[row] + depth - 1
             letter = characters[at]
             fresh = np.ones(len(row), bool)
@@ -87,35 +102,71 @@ class TrieCounter:
             terminal[row[ended]] = fewest[here[ended]]
         return terminal.tolist()
 
-    def _alone(self, word: str) -> int:
-        lex = self.lexicon
-        text = word.replace(unigram.SPACE, "\uffff").replace(" ", unigram.SPACE)
-        scores, tokens = [0.0], [0]
-        for end in range(1, len(text) + 1):
-            best, fewest = -np.inf, 0
-            for start in range(max(0, end - lex.longest), end):
-                found = lex.scores.get(text[start:end])
-                if found is None:
-                    if start < end - 1:
+    @staticmethod
+    def _chain(node: int, scores: list, tokens: list, parents: list) -> tuple[list[float], list[int]]:
+        """Scores and tokens of a node's prefixes, the root's first."""
+        out: tuple[list[float], list[int]] = [], []
+        for depth in range(len(scores) - 1, -1, -1):
+            out[0].append(float(scores[depth][node]))
+            out[1].append(int(tokens[depth][node]))
+            node = int(parents[depth][node])
+        return out[0][::-1], out[1][::-1]
+
+    def _walk(self, words: list[str], chains: list[tuple[list[float], list[int]]]) -> list[int]:
+        """Terminals of sorted ``words``, branch by branch; ``chains``: what is known of each."""
+        lex, ends = self.lexicon, self.ends
+        out: list[int] = []
+        last, scores, tokens = "", [0.0], [0]
+        for word, (known_scores, known_tokens) in zip(words, chains, strict=True):
+            text = word.replace(unigram.SPACE, "\uffff").replace(" ", unigram.SPACE)
+            same = _shared(last, text)
+            if same < len(known_scores) - 1:
+                scores, tokens = known_scores, known_tokens
+            else:
+                del scores[same + 1 :], tokens[same + 1 :]
+            for end in range(len(scores), len(text) + 1):
+                best, fewest = -np.inf, 0
+                for start in range(end - 1, max(0, end - lex.longest) - 1, -1):
+                    part = text[start:end]
+                    piece = lex.scores.get(part)
+                    if piece is not None:
+                        n, score = 1, scores[start] + piece[1]
+                    elif start == end - 1:
+                        n = len(word[start].encode())
+                        score = scores[start] + n * lex.byte_lp
+                    elif part in ends:
                         continue
-                    n = len(word[end - 1].encode())
-                    piece = n * lex.byte_lp
-                else:
-                    n, piece = 1, found[1]
-                score = scores[start] + piece
-                if score > best or score == best and tokens[start] + n < fewest:
-                    best, fewest = score, tokens[start] + n
-            scores.append(best)
-            tokens.append(fewest)
-        return tokens[-1]
-
-
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = unigram.MODEL, max_terminals: int = 400_000) -> DataFrame:
+                    else:
+                        break
+                    if score > best or score == best and tokens[start] + n < fewest:
+                        best, fewest = score, tokens[start] + n
+                    if part not in ends:
+                        break
+                scores.append(best)
+                tokens.append(fewest)
+            last = text
+            out.append(tokens[-1])
+        return out
+
+
+def _shared(a: str, b: str) -> int:
+    """Characters of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = unigram.MODEL, max_characters: int = 8_000_000) -> DataFrame:
     """One row a text: ``n_pretokens`` and ``n_tokens`` (long). Map only, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def make():
-        counter = TrieCounter(shared.value, max_terminals)
+        counter = TrieCounter(shared.value, max_characters)
 
         def step(batch: pa.RecordBatch) -> dict:
             parts = [unigram.units(t) if t else [] for t in batch.column(1).to_pylist()]
