@@ -10,16 +10,18 @@ The posterior of a language multiplies four kinds of evidence:
 * the host's prior: languages that the texts of the same host speak for, counted by a grouped
   aggregation over all rows and smoothed towards the host's suffix and that towards all rows.
 
-The trigram models are fitted on a bounded sample of labelled rows: for each of the
-``max_languages`` most frequent declared languages, the ``per_language`` rows with the smallest
-hash of their id. Everything else covers all rows. A row is accepted if its best hypothesis is a
+A declaration counts by its primary subtag in lower case (``de-DE`` is ``de``) if that has two or
+three letters; others are no evidence. The trigram models are fitted on a bounded sample of labelled
+rows: for each declared language the ``per_language`` rows with the smallest hash of their id; a
+language needs ``least`` rows to be one. Everything else covers all rows. A row is accepted if its best hypothesis is a
 language with a posterior of ``accept`` or more.
 
 Defined cases: a null or empty text is no evidence and is rejected as ``und``; a text of one or two
 bytes has no trigram and is decided by the other evidence; a null declaration,
-suffix or host is no evidence (its prior is that of all rows); repeated rows give repeated results;
-an empty table, or one without any declaration, gives only ``und``. Only named columns are read, so
-extra columns cannot clash.
+suffix or host is no evidence (its prior is that of all rows); a text of any length is read whole,
+alone in its slice; of equal posteriors the first language in alphabetical order wins, ``und`` last;
+repeated rows give repeated results; an empty table, or one without any declaration, gives only
+``und``. Only named columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from .common import checkpointed, map_slices
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
-#: Hosts above this count are joined by a shuffle instead of a broadcast.
-MAX_BROADCAST_HOSTS = 100_000
+#: Shares (of 8 bytes, one a host and language) that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_SHARES = 2_000_000
 # Address suffixes of countries with one main language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "se": "sv"}
 
@@ -57,17 +59,23 @@ def _lowered(column: pa.Array) -> list[bytes]:
     return [(t or "").lower().encode() for t in column.to_pylist()]
 
 
-def labelled_sample(df: DataFrame, id_col: str, declared_col: str, per_language: int, max_languages: int) -> DataFrame:
+def primary_subtag(tag: Column) -> Column:
+    """Two or three letters in lower case, or null."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
+
+
+def labelled_sample(df: DataFrame, id_col: str, declared_col: str, per_language: int, least: int) -> DataFrame:
     """Ids and languages of the bounded sample (see above)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(declared_col).alias("language")).where("language is not null and id is not null")
-    common = [r.language for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(max_languages).collect()]
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("id"), "id"))
-    return rows.where(F.col("language").isin(common)).withColumn("n", rank).where(F.col("n") <= per_language).select("id", "language")
+    few = rows.withColumn("n", rank).where(F.col("n") <= max(per_language, least))
+    known = few.where(F.col("n") == least).select("language")
+    return few.where(F.col("n") <= per_language).join(known, "language", "left_semi").select("id", "language")
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, declared_col: str, per_language: int = 300, max_languages: int = 32) -> tuple[list[str], np.ndarray]:
+def fit(df: DataFrame, id_col: str, text_col: str, declared_col: str, per_language: int = 300, least: int = 1) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probabilities of their trigram buckets; only counts are collected."""
-    sample = checkpointed(labelled_sample(df, id_col, declared_col, per_language, max_languages).distinct())
+    sample = checkpointed(labelled_sample(df, id_col, declared_col, per_language, least).distinct())
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("language", "text")
 
     def make():
@@ -120,49 +128,53 @@ def _smoothed(counts: Column, total: Column, parent: Column, strength: float) ->
     return F.zip_with(counts, parent, lambda n, p: (n + strength * p) / (total + strength))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | str | None = "lang", host: Column | str | None = "source", suffix: Column | None = None, *, worth: int = 60, declared_noise: float = 0.1, suffix_noise: float = 0.3, strength: float = 20.0, accept: float = 0.5, per_language: int = 300, max_languages: int = 32) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | str | None = "lang", host: Column | str | None = "source", suffix: Column | None = None, *, worth: int = 60, declared_noise: float = 0.1, suffix_noise: float = 0.3, strength: float = 20.0, accept: float = 0.5, per_language: int = 300, least: int = 1) -> DataFrame:
     """One row an input row: ``language``, ``posterior`` and ``accepted``."""
 
     def given(x):
         return F.lit(None).cast("string") if x is None else (F.col(x) if isinstance(x, str) else x).cast("string")
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), given(declared).alias("declared"), given(host).alias("host"), given(suffix).alias("suffix")).withColumn("some", F.when(F.length("text") > 0, "some"))
-    names, table = fit(rows, "id", "text", "declared", per_language, max_languages)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), primary_subtag(given(declared)).alias("declared"), given(host).alias("host"), given(suffix).alias("suffix")).withColumn("some", F.when(F.length("text") > 0, "some"))
+    names, table = fit(rows, "id", "text", "declared", per_language, least)
     size = len(names)
     # written once: the text is read once, and the priors and the result read this small table
     heard = checkpointed(text_evidence(rows, "id", "text", ["declared", "host", "suffix", "some"], table, worth))
 
     counted = heard.where("n > 0").groupBy("host", "suffix", "heard").agg(F.count("*").alias("rows"))
-    every = [F.sum(F.when(F.col("heard") == k, F.col("rows")).otherwise(0)).cast("double").alias(f"k{k}") for k in range(size)]
-    overall = counted.agg(*every).collect()[0]
-    total = sum(x or 0.0 for x in overall)
-    root = F.array(*(F.lit(((x or 0.0) + 1 / size) / (total + 1)) for x in overall))
-
-    shares = lambda by: counted.groupBy(*by).agg(F.array(*every).alias("counts"), F.sum("rows").alias("total"))
-    by_suffix = shares(["suffix"]).where("suffix is not null").select("suffix", _smoothed(F.col("counts"), F.col("total"), root, strength).alias("parent"))
-    by_host = shares(["host", "suffix"]).where("host is not null").join(by_suffix, "suffix", "left")
+    overall = {r.heard: r.rows for r in counted.groupBy("heard").agg(F.sum("rows").alias("rows")).collect()}
+    total = sum(overall.values())
+    root = F.array(*(F.lit((overall.get(k, 0) + 1 / size) / (total + 1)) for k in range(size)))
+
+    def shares(*by: str) -> DataFrame:
+        """Rows by language, in the order of the languages, and their sum."""
+        said = counted.groupBy(*by, "heard").agg(F.sum("rows").alias("rows")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("heard", "rows"))).alias("by_language"), F.sum("rows").alias("total"))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("by_language", k), F.lit(0)).cast("double"))
+        return said.select(*by, counts.alias("counts"), "total")
+
+    by_suffix = shares("suffix").where("suffix is not null").select("suffix", _smoothed(F.col("counts"), F.col("total"), root, strength).alias("parent"))
+    by_host = shares("host", "suffix").where("host is not null").join(by_suffix, "suffix", "left")
     by_host = by_host.select("host", F.col("suffix").alias("host_suffix"), _smoothed(F.col("counts"), F.col("total"), F.coalesce("parent", root), strength).alias("prior"))
     by_host = checkpointed(by_host)
-    if by_host.count() <= MAX_BROADCAST_HOSTS:
+    if by_host.count() * size <= MAX_BROADCAST_SHARES:
         by_host = F.broadcast(by_host)
     joined = heard.join(by_host, (heard["host"] == by_host["host"]) & heard["suffix"].eqNullSafe(by_host["host_suffix"]), "left").drop(by_host["host"])
 
-    def channel(said: Column, noise: float) -> list[Column]:
-        known = said.isin(names[:-1])
-        return [F.when(~F.coalesce(known, F.lit(False)), F.lit(0.0)).when(said == name, F.lit(float(np.log(1 - noise)))).otherwise(F.lit(float(np.log(noise / max(1, size - 1))))) for name in names]
+    languages = F.array(*map(F.lit, names))
+
+    def channel(said: Column, noise: float):
+        known = F.coalesce(F.array_position(languages, said), F.lit(0)).between(1, size - 1)
+        return lambda name: F.when(~known, F.lit(0.0)).when(said == name, F.lit(float(np.log(1 - noise)))).otherwise(F.lit(float(np.log(noise / max(1, size - 1)))))
 
-    tld = F.lit(None).cast("string")
-    for country, name in SUFFIX_LANGUAGE.items():
-        tld = F.when(F.col("suffix") == country, F.lit(name)).otherwise(tld)
+    tld = F.try_element_at(F.create_map(*(F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair)), F.coalesce("suffix", F.lit("")))
+    declaration, address = channel(F.col("declared"), declared_noise), channel(tld, suffix_noise)
     # a declaration as such only speaks between languages: it neither helps nor harms "und"
-    parts = zip(channel(F.lower(F.substring_index("declared", "-", 1)), declared_noise), channel(tld, suffix_noise), strict=True)
-    prior = F.coalesce("prior", root)
-    logs = F.array(*(F.col("evidence")[k] + F.log(prior[k]) + (a + b if k < size - 1 else F.lit(0.0)) for k, (a, b) in enumerate(parts)))
+    spoken = F.transform(languages, lambda name: F.when(name == UNKNOWN, F.lit(0.0)).otherwise(declaration(name) + address(name)))
+    likely = F.zip_with("evidence", F.coalesce("prior", root), lambda e, p: e + F.log(p))
     top = F.array_max("logs")
-    out = joined.select("id", "some", logs.alias("logs"))
+    out = joined.select("id", "some", F.zip_with(likely, spoken, lambda a, b: a + b).alias("logs"))
     best = F.array_position("logs", top) - 1
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    out = out.select("id", F.when(F.col("some").isNotNull(), F.element_at(F.array(*map(F.lit, names)), (best + 1).cast("int"))).otherwise(UNKNOWN).alias("language"), F.when(F.col("some").isNotNull(), posterior).otherwise(0.0).alias("posterior"))
+    out = out.select("id", F.when(F.col("some").isNotNull(), F.element_at(languages, (best + 1).cast("int"))).otherwise(UNKNOWN).alias("language"), F.when(F.col("some").isNotNull(), posterior).otherwise(0.0).alias("posterior"))
     return out.select(F.col("id").alias(id_col), "language", F.round("posterior", 6).alias("posterior"), ((F.col("language") != UNKNOWN) & (F.col("posterior") >= accept)).alias("accepted"))
 
 
