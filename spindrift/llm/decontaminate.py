@@ -15,13 +15,15 @@ counts over the sum of the larger counts) is 0.8 or more.
    20 bits lies over 3.5 standard deviations above the expected distance at similarity 0.8.
 4. The exact similarity decides.
 
-The benchmark is broadcast where it has at most ``MAX_BROADCAST`` shingles, else joined by a
-shuffle. A document's words are read again only for documents with an anchor.
-
-Defined cases: a null or empty text holds no window, and a null or empty item matches nothing; rows
-with a null id are left out; a document shorter than an item is one window as a whole; repeated
-rows count once, and ties of the best window go to the first; empty tables give an empty result;
-only the named columns are read, so extra columns cannot clash.
+What is broadcast has at most ``MAX_BROADCAST`` values of 8 bytes, else it is joined by a shuffle.
+Only documents with an anchor are cut into words again.
+
+Defined cases: a null or empty text holds no window, and a null or empty item matches nothing; a
+document shorter than an item is one window as a whole; a text of any length is read whole, and a
+row gathers at most the windows of one text; rows of one id (a null id is one, too) give one row an
+item, with the best window of all their texts; repeated rows count once, and ties of the best window
+go to the first; empty tables give an empty result; only the named columns are read, so extra
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ from .common import checkpointed
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
-#: Rows that may be broadcast: of 8 to 24 bytes each.
-MAX_BROADCAST = 1_000_000
+#: Values of 8 bytes that may be broadcast.
+MAX_BROADCAST = 4_000_000
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+def _bounded(df: DataFrame, lists: str | None = None, width: int = 2) -> DataFrame:
+    """``df``, to be broadcast if it is small: ``width`` values a row, and as many for each entry of
+    the column ``lists``."""
+    rows, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)).collect()[0]
+    return F.broadcast(df) if (rows + entries) * width <= MAX_BROADCAST else df
 
 
 def words_of(text: Column) -> Column:
@@ -113,15 +118,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _matches(docs: DataFrame, items: DataFrame, k: int, id_col: str, text_col: str, similarity: float, radius: int) -> DataFrame:
     items = checkpointed(items.select("item_id", "m", shingles_of(F.col("words"), k)["shingles"].alias("shingles")))
     anchors = checkpointed(items.select("m", F.explode("shingles").alias("s")).groupBy("s").agg(F.collect_set("m").alias("sizes")))
-    shingled = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), shingles_of(words_of(F.col(text_col)), k).alias("x"))
-    shingled = shingled.select("doc", "x.n", "x.shingles")
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    shingled = lambda df, *more: df.select("doc", "th", *more, shingles_of(words_of(F.col("text")), k).alias("x")).select("doc", "th", *more, "x.n", "x.shingles")
 
     # 1. windows at anchors
-    hits = shingled.select("doc", "n", F.posexplode("shingles").alias("at", "s")).join(_bounded(anchors, anchors.count()), "s")
-    windows = hits.select("doc", "n", "at", F.explode("sizes").alias("m")).select("doc", F.least("at", F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("start"), "m")
-    by_doc = checkpointed(windows.groupBy("doc").agg(F.collect_set(F.struct("start", "m")).alias("windows")))
+    hits = shingled(texts).select("doc", "th", "n", F.posexplode("shingles").alias("at", "s")).join(_bounded(anchors, "sizes"), "s")
+    windows = hits.select("doc", "th", "n", "at", F.explode("sizes").alias("m")).select("doc", "th", F.least("at", F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("start"), "m")
+    by_doc = checkpointed(windows.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "m")).alias("windows")))
     cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["m"].alias("m"), F.slice("shingles", w["start"] + 1, F.greatest(w["m"] - (k - 1), F.lit(1))).alias("shingles")))
-    windows = shingled.join(_bounded(by_doc, by_doc.count()), "doc").select("doc", F.explode(cut).alias("w")).select("doc", "w.*")
+    named = _bounded(by_doc.select(F.col("doc").alias("own"), F.col("th").alias("own_th"), "windows"), "windows")
+    again = texts.join(named, (F.col("th") == F.col("own_th")) & F.col("doc").eqNullSafe(F.col("own")))
+    windows = shingled(again, "windows").select("doc", F.explode(cut).alias("w")).select("doc", "w.*")
     windows = windows.withColumn("key", F.xxhash64("shingles")).withColumn("key2", F.xxhash64(F.lit(7), "shingles"))
     windows = checkpointed(windows)
 
@@ -130,12 +137,12 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, id_col: str, text_col: s
     prints = _simhash(distinct.select("m", "key", "key2", F.explode("shingles").alias("s")), ["m", "key", "key2"])
     own = _simhash(items.select("item_id", "m", F.explode("shingles").alias("s")), ["item_id", "m"])
     blocks = checkpointed(own.select("item_id", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block")))
-    near = prints.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("block")).join(_bounded(blocks, blocks.count()), ["m", "block"])
+    near = prints.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("block")).join(_bounded(blocks, width=4), ["m", "block"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("m", "key", "key2", "item_id").distinct()
 
     # 4. exact similarity of the windows' and the items' shingles
     pairs = near.join(distinct, ["m", "key", "key2"]).join(items.select("item_id", "m", F.col("shingles").alias("wanted")), ["item_id", "m"])
     matched = pairs.withColumn("similarity", _similarity(F.col("shingles"), F.col("wanted"))).where(F.col("similarity") >= similarity)
     matched = checkpointed(matched.select("m", "key", "key2", "item_id", "similarity"))
-    rows = windows.select("doc", "start", "m", "key", "key2").join(_bounded(matched, matched.count()), ["m", "key", "key2"])
+    rows = windows.select("doc", "start", "m", "key", "key2").join(_bounded(matched, width=5), ["m", "key", "key2"])
     return rows.select("doc", "item_id", "start", F.col("m").alias("size"), "similarity")
