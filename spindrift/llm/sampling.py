@@ -21,8 +21,9 @@ exponential's inverse weights a sample (Horvitz-Thompson).
 Defined cases: a null text gives no row, an empty text has the one empty segmentation; a text with
 fewer than k segmentations gives them all; equal keys and texts give equal rows, so repeated rows
 give repeated results; a null key has a noise stream of its own; an empty table gives an empty
-result; only the two named columns are read, so extra columns cannot clash. Memory grows with the
-longest single text, not with a batch.
+result; equal perturbed values go to the earlier path and place; only the two named columns are read,
+so extra columns cannot clash. A text of any length is read whole; memory grows with the longest
+single text, not with a batch.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ from .common import Powers, map_slices
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 POWERS = Powers(0xD6E8FEB86659FD93)
+#: Rests over this many characters are hashed by more than a polynomial modulo 2**64, which some long
+#: sequences (Thue-Morse) defeat: also modulo two primes.
+LONG = 100
+PRIMES = tuple((p, b, pow(b, -1, p)) for p, b in ((2147483647, 1103515245), (2147483629, 69069069)))
 _SPACE, _LINE = (unigram.code_points(c)[0][0] for c in " \n")
 
 
@@ -50,6 +55,23 @@ def uniform(key: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    filled = 1
+    while filled < n:
+        step = min(filled, n - filled)
+        out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, modulus)) % np.uint64(modulus)
+        filled += step
+    return out
+
+
+def _rest_hashes(values: np.ndarray, modulus: int, base: int, inverse: int) -> np.ndarray:
+    """Of every rest of ``values``: its polynomial hash modulo a prime below 2**31."""
+    m = np.uint64(modulus)
+    terms = values % m * _powers(base, modulus, len(values)) % m
+    return np.cumsum(terms[::-1])[::-1] % m * _powers(inverse, modulus, len(values)) % m
+
+
 _KEPT: dict = {}
 
 
@@ -138,6 +160,10 @@ class Lattice:
         up, down = POWERS(len(characters) + 1)
         total = np.concatenate([[np.uint64(0)], np.cumsum(characters * up[: len(characters)])])
         keys = (np.repeat(total[end], length) - total[:-1]) * down[: len(characters)] + rest.astype(np.uint64) * _GOLDEN
+        for b in np.flatnonzero(length > LONG).tolist():
+            a, z = int(begin[b]), int(end[b])
+            for modulus, base, inverse in PRIMES:
+                keys[a : z - LONG] += _rest_hashes(characters[a:z], modulus, base, inverse)[: z - LONG - a] * _GOLDEN
         if self.used > self.max_nodes:
             self._clear()
         node = self._found(keys)
@@ -161,17 +187,22 @@ class Lattice:
 
     def _score(self, path: np.ndarray, at: np.ndarray, rest: int, characters: np.ndarray, size: np.ndarray) -> None:
         lex, node, most = self.lexicon, path[at], min(rest, self.lexicon.longest)
-        values = np.empty((len(at), most))
-        ids = np.empty((len(at), most), np.int32)
-        h = np.zeros(len(at), np.uint64)
+        values = np.full((len(at), most), -np.inf)
+        ids = np.full((len(at), most), -1, np.int32)
+        begun, h = np.arange(len(at)), np.zeros(len(at), np.uint64)  # places where a longer piece may begin
         for n in range(1, most + 1):
-            h = h * unigram._BASE + characters[at + n - 1]
+            here = at[begun]
+            h = h * unigram._BASE + characters[here + n - 1]
             row = lex.find(h)
             value = lex.lp[row]
             if n == 1:
                 value = np.where(np.isneginf(value), size[at] * lex.byte_lp, value)
-            values[:, n - 1] = value + self.beta[path[at + n]] if n < rest else value
-            ids[:, n - 1] = lex.ids[row]
+            values[begun, n - 1] = value + self.beta[path[here + n]] if n < rest else value
+            ids[begun, n - 1] = lex.ids[row]
+            longer = lex.more[row]
+            begun, h = begun[longer], h[longer]
+            if not len(begun):
+                break
         top = values.max(1)
         share = np.exp(values - top[:, None])
         total = share.sum(1)
@@ -197,12 +228,14 @@ class Lattice:
         return np.minimum(score + after - self.beta[here], 0.0)
 
 
-def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples in falling order of perturbed log-probability: (characters of the
-    pieces, log-probability, perturbed log-probability, log-inclusion)."""
+def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> tuple[str, list[list[tuple[np.ndarray, float, float, float]]], np.ndarray, np.ndarray]:
+    """The joined texts, for each text its samples in falling order of perturbed log-probability
+    (characters of the pieces, log-probability, perturbed log-probability, log-inclusion), the node
+    of each character and the place of each text."""
     per_text = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     text_begin = np.cumsum(per_text) - per_text
-    node, begin = lattice.places("".join(" " + t for t in texts), text_begin)
+    joined = "".join(" " + t for t in texts)
+    node, begin = lattice.places(joined, text_begin)
     total, n = len(node), len(texts)
     text_of_unit = np.searchsorted(text_begin, begin, side="right") - 1
     local = begin - text_begin[text_of_unit]  # places count from the start of their text
@@ -314,23 +347,29 @@ def top_k(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[
             inclusion = 0.0 if np.isneginf(threshold[t]) else float(x - rate / 2 if x < -18 else np.log(-np.expm1(-rate)))
             rows.append((pieces, log_prob, perturbed, inclusion))
         out.append(rows)
-    return out, node, text_begin
+    return joined, out, node, text_begin
 
 
-def piece_ids(lattice: Lattice, node: np.ndarray, take: np.ndarray, text: str, byte_ids: np.ndarray) -> np.ndarray:
-    """Ids of a text's pieces; ``take`` has their characters at their first character."""
+def piece_ids(lattice: Lattice, node: np.ndarray, takes: list[np.ndarray], begins: list[int], joined: str, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many samples, one after the other, and each sample's number of ids. A sample's
+    ``take`` has its pieces' characters at their first one, ``begin`` the place of its text among
+    the nodes of the ``joined`` texts."""
+    sizes = np.fromiter(map(len, takes), np.int64, len(takes))
+    take = np.concatenate(takes)
     at = np.flatnonzero(take)
-    ids = lattice.ids[node[at], take[at] - 1].astype(np.int32)
+    sample = np.repeat(np.arange(len(takes)), sizes)[at]
+    place = at + np.repeat(np.array(begins, np.int64) - np.cumsum(sizes) + sizes, sizes)[at]
+    ids = lattice.ids[node[place], take[at] - 1].astype(np.int32)
+    counts = np.bincount(sample, minlength=len(takes))
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
-        return ids
-    spaced = " " + text
-    raw = [spaced[i].encode() for i in at[bare].tolist()]
-    sizes = np.ones(len(ids), np.int64)
-    sizes[bare] = list(map(len, raw))
-    out = np.repeat(ids, sizes)
-    out[out < 0] = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    return out
+        return ids, counts
+    raw = [joined[i].encode() for i in place[bare].tolist()]
+    more = np.ones(len(ids), np.int64)
+    more[bare] = list(map(len, raw))
+    ids = np.repeat(ids, more)
+    ids[ids < 0] = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    return ids, np.bincount(sample, weights=more, minlength=len(takes)).astype(np.int64)
 
 
 def piece_bytes(model: dict) -> list[bytes]:
@@ -345,6 +384,14 @@ def decode(ids, meaning: list[bytes]) -> str:
     return b"".join(map(meaning.__getitem__, ids)).decode()[1:]
 
 
+def decoded(ids: np.ndarray, counts: np.ndarray, meaning: pa.BinaryArray) -> list[bytes]:
+    """What samples spell (with the leading space of a text), from all their ids at once."""
+    spelled = meaning.take(pa.array(ids))
+    ends = np.frombuffer(spelled.buffers()[1], np.int32, len(ids) + 1)[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    data = memoryview(spelled.buffers()[2] or b"")
+    return [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, model: str = unigram.MODEL, max_nodes: int = 400_000, verify: bool = False) -> DataFrame:
     """One row a text and sample: ``sample`` (1 is the best), ``ids`` (array of int), ``log_prob``,
     ``perturbed`` and ``log_inclusion``; with ``verify`` also ``exact``, whether decoding gives the
@@ -352,7 +399,7 @@ def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = df.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def make():
-        lattice, meaning = kept_lattice(shared.value, max_nodes), piece_bytes(shared.value)
+        lattice, meaning = kept_lattice(shared.value, max_nodes), pa.array(piece_bytes(shared.value), pa.binary())
         byte_ids = np.array(shared.value["bytes"], np.int32)
 
         def step(batch: pa.RecordBatch) -> dict:
@@ -361,25 +408,23 @@ def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts, rows = [every[i] for i in there], []
             names = batch.column(0).cast(pa.string()).to_pylist()
             keys = np.array([xxhash.xxh64_intdigest(b"\1" if names[i] is None else b"\0" + names[i].encode(), seed) for i in there], np.uint64)
-            flat, sizes = [], []
+            flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
             if texts:
-                found, node, begins = top_k(lattice, texts, keys, k)
-                for i, text, begin, samples in zip(there, texts, begins, found, strict=True):
-                    for number, (take, log_prob, perturbed, inclusion) in enumerate(samples, 1):
-                        ids = piece_ids(lattice, node[begin : begin + len(take)], take, text, byte_ids)
-                        flat.append(ids)
-                        sizes.append(len(ids))
-                        rows.append((i, number, log_prob, perturbed, inclusion, not verify or decode(ids.tolist(), meaning) == text))
+                joined, found, node, begins = top_k(lattice, texts, keys, k)
+                every = [(n, i, number, *x) for n, (i, samples) in enumerate(zip(there, found, strict=True)) for number, x in enumerate(samples, 1)]
+                flat, sizes = piece_ids(lattice, node, [x[3] for x in every], [int(begins[x[0]]) for x in every], joined, byte_ids)
+                same = [a == b" " + texts[x[0]].encode() for x, a in zip(every, decoded(flat, sizes, meaning), strict=True)] if verify else [True] * len(every)
+                rows = [(i, number, log_prob, perturbed, inclusion, ok) for (_, i, number, _, log_prob, perturbed, inclusion), ok in zip(every, same, strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
             return {"id": batch.column(0).take(pa.array(columns[0], pa.int64())), "sample": pa.array(columns[1], pa.int32()), "ids": ids, "log_prob": pa.array(columns[2], pa.float64()), "perturbed": pa.array(columns[3], pa.float64()), "log_inclusion": pa.array(columns[4], pa.float64()), **({"exact": pa.array(columns[5], pa.bool_())} if verify else {})}
 
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_slices(picked, "text", make, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double{', exact boolean' if verify else ''}", 1 << 18)
+    out = map_slices(picked, "text", make, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double{', exact boolean' if verify else ''}", 1 << 19)
     return out.withColumnRenamed("id", id_col)
 
 

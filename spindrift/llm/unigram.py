@@ -78,13 +78,17 @@ def code_points(joined: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lexicon:
-    """Pieces by the polynomial hash of their characters, looked up for whole arrays at once."""
+    """Pieces and their beginnings by the polynomial hash of their characters, looked up for whole
+    arrays at once. ``more`` tells of a row whether a longer piece begins with it; a beginning that
+    is no piece has the log-probability -inf."""
 
     def __init__(self, model: dict):
         self.longest, self.byte_lp, self.byte_ids = model["longest"], model["byte_lp"], np.array(model["bytes"])
         self.scores = {k: v for k, v in model["pieces"].items()}
-        keys = np.zeros(len(self.scores), np.uint64)
-        for row, name in enumerate(self.scores):
+        begun = {name[:n] for name in self.scores for n in range(1, len(name))}
+        names = [*self.scores, *sorted(begun - self.scores.keys())]
+        keys = np.zeros(len(names), np.uint64)
+        for row, name in enumerate(names):
             h = 0
             for c in name:
                 h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
@@ -92,8 +96,10 @@ class Lexicon:
         if len(np.unique(keys)) != len(keys):
             raise ValueError("pieces collide")
         self.keys = np.append(keys, np.uint64(0))  # the last row stands for no piece
-        self.lp = np.array([lp for _, lp in self.scores.values()] + [-np.inf])
-        self.ids = np.array([i for i, _ in self.scores.values()] + [-1], np.int32)
+        no_piece = [(-1, -np.inf)] * (len(names) - len(self.scores) + 1)
+        self.lp = np.array([lp for _, lp in [*self.scores.values(), *no_piece]])
+        self.ids = np.array([i for i, _ in [*self.scores.values(), *no_piece]], np.int32)
+        self.more = np.array([name in begun for name in names] + [False])
         self.slots = np.full(1 << _SLOTS, len(keys), np.int32)
         self.probes, row, slot = 0, np.arange(len(keys)), self._slot(keys)
         while len(row):

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -227,16 +228,27 @@ def test_token_counts_are_the_best_segmentation():
     for u in units:
         best = max(lp for _, lp in segmentations(u))
         fewest = min(len(ids) for ids, lp in segmentations(u) if abs(lp - best) < 1e-9)
-        assert counts[u] == fewest == counter._alone(u)
-    long = " " + "theatre" * 40
-    assert token_counts.TrieCounter(MODEL).counts([long])[long] == token_counts.TrieCounter(MODEL, trie_depth=10**6).counts([long])[long]
+        assert counts[u] == fewest
+    long = [" " + "theatre" * n + end for n in (40, 41, 300) for end in ("", "x", "日本", "\uffff▁z")]
+    plain, walked = (token_counts.TrieCounter(MODEL, narrow=n).counts([*long, *units]) for n in (0, 10**9))
+    assert plain == walked == token_counts.TrieCounter(MODEL, max_characters=0).counts([*long, *units])
+    counter = token_counts.TrieCounter(MODEL)
+    alone = {u: counter.counts([u])[u] for u in units}
+    assert alone == {u: plain[u] for u in units}
+    assert {u: counter.counts([u])[u] for u in long} == {u: plain[u] for u in long}
+    assert all(len(u) <= token_counts.KEPT_LENGTH for u in counter.terminal)
 
 
 def sampled(texts, keys, k):
     lattice = sampling.Lattice(MODEL)
-    found, node, begins = sampling.top_k(lattice, texts, np.array(keys, np.uint64), k)
+    joined, found, node, begins = sampling.top_k(lattice, texts, np.array(keys, np.uint64), k)
     byte_ids = np.array(MODEL["bytes"], np.int32)
-    return [[(sampling.piece_ids(lattice, node[b : b + len(x[0])], x[0], t, byte_ids).tolist(), *x[1:]) for x in rows] for t, b, rows in zip(texts, begins, found, strict=True)]
+    out = []
+    for begin, rows in zip(begins, found, strict=True):
+        flat, counts = sampling.piece_ids(lattice, node, [x[0] for x in rows], [int(begin)] * len(rows), joined, byte_ids)
+        ends = np.cumsum(counts)
+        out.append([(flat[e - c : e].tolist(), *x[1:]) for e, c, x in zip(ends, counts, rows, strict=True)])
+    return out
 
 
 def test_samples_decode_and_differ():
@@ -352,3 +364,43 @@ def test_ratio_separates_held_out_urls():
 
 def test_hashes_are_stable():
     assert hashlib.sha256(media.encode_gif(bytes(64))).hexdigest() == hashlib.sha256(media.encode_gif(bytes(64))).hexdigest()
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_samples_of_words_that_defeat_polynomial_hashes():
+    texts = [f"x {thue_morse(n, 'a', 'b')} y {thue_morse(n, 'b', 'a')}" for n in (128, 2048)] + [thue_morse(4096, "a", "ࡡ")]
+    meaning = sampling.piece_bytes(MODEL)
+    for t, rows in zip(texts, sampled(texts, range(3), 2), strict=True):
+        assert all(sampling.decode(r[0], meaning) == t for r in rows)
+
+
+def test_decoded_is_what_the_pieces_spell():
+    meaning = sampling.piece_bytes(MODEL)
+    ids, counts = np.array([300, 400, 5, 77, 900], np.int32), np.array([2, 0, 3])
+    wanted = [b"".join(meaning[i] for i in part) for part in ([300, 400], [], [5, 77, 900])]
+    assert sampling.decoded(ids, counts, sampling.pa.array(meaning, sampling.pa.binary())) == wanted
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("a" * 1_000_000 + " x: y", 1),
+        ("Ab9/+" * 200_000 + ": z", 0),
+        ("a0 = 'x1y2z3Q9'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(40)) + "password = a40", 1),
+        ("a0 = 'x1y2z3Q9'\n" + "".join(f"a{i + 1} = a{i} + 'k{i}Z'\n" for i in range(9000)) + "password = a9000", 9001),
+        ("x=" * 300_000 + ":", 0),
+        ("a" + " " * 1_000_000, 0),
+    ],
+)
+def test_secret_scans_take_linear_time(text, spans):
+    began = time.process_time()
+    assert len(secrets.all_spans(text)) == spans
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("text", ['os.environ["API_KEY"] = "q9ZkL2mX0p"', "cfg['token'] = 'q9ZkL2mX0p'", 'secret: Optional[str] = "q9ZkL2mX0p"', 'a = "q9ZkL2mX0p"\nb = a\na = "other"\npassword = b'])
+def test_lexer_reads_subscripts_annotations_and_the_last_assignment(text):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == ["q9ZkL2mX0p"]
