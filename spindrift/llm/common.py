@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -74,6 +75,13 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that checkpoints have cut off: it does so when the
+    driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 
