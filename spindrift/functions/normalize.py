@@ -24,27 +24,61 @@ ADDRESS_WORDS = (("street", "st"), ("road", "rd"), ("avenue", "ave"), ("boulevar
 # Letters that Unicode does not decompose, and their usual spelling.
 _SPELLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ"}
 _SINGLE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T"}
-
-
-def _latin_table() -> tuple[str, str]:
-    """Latin letters with marks and the ASCII letter that their decomposition starts with."""
+# Greek and Cyrillic in lower case, letter by letter in the order of their alphabets.
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+_CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia".split(), strict=True)) | {"є": "ie", "і": "i", "ї": "i", "ґ": "g", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz", "ё": "io", "ў": "u"}
+#: A letter of one of the scripts below, in any case.
+_ALPHABETS = "[\\u0370-\\u03ff\\u0400-\\u045f\\u1f00-\\u1fff]"
+#: A letter or number that none of the rules spells.
+_OTHER = r"[[^\x00-\x7f]&&[\p{L}\p{N}]]"
+
+
+def _single_letters() -> tuple[str, str]:
+    """Letters with marks and the letter that their decomposition starts with, letters that are
+    spelled by one, and digits of any script."""
     pairs = dict(_SINGLE)
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)]:
         base = unicodedata.normalize("NFKD", chr(code))
-        if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(c) for c in base[1:]):
+        if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]) and chr(code) not in _CYRILLIC and chr(code).lower() not in _CYRILLIC:
             pairs[chr(code)] = base[0]
+    for code in range(0x80, 0x10000):
+        if unicodedata.category(chr(code)) == "Nd":
+            pairs[chr(code)] = str(unicodedata.digit(chr(code)))
     return "".join(pairs), "".join(pairs.values())
 
 
-_FROM, _TO = _latin_table()
+_FROM, _TO = _single_letters()
+_LETTERS = _GREEK | _CYRILLIC
+_ONE = {k: v for k, v in _LETTERS.items() if len(v) == 1 and v != "-"}
+_SEVERAL = {k: v.replace("-", "") for k, v in _LETTERS.items() if k not in _ONE}
+
+
+def _alphabetic(text: Column) -> Column:
+    """Greek and Cyrillic letters as Latin ones, in lower case."""
+    text = F.lower(text)
+    for letter, spelled in _SEVERAL.items():
+        text = F.replace(text, F.lit(letter), F.lit(spelled))
+    return F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+
+
+def _coded(text: Column) -> Column:
+    """Every other letter or number as a word of its own: u and its UTF-8 bytes in hexadecimal."""
+    each = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    code = lambda c: F.concat(F.lit(" u"), F.lower(F.hex(F.encode(c, "UTF-8"))), F.lit(" "))
+    return F.array_join(F.transform(each, lambda c: F.when(c.rlike(_OTHER), code(c)).otherwise(c)), "")
 
 
 def transliterated(text: Column) -> Column:
-    """Latin letters without their marks. Other scripts stay and are dropped by normalisation."""
+    """Latin letters without their marks, Greek and Cyrillic ones spelled in Latin, digits of any
+    script as ASCII ones, and letters of other scripts as words of their UTF-8 bytes, so that equal
+    names stay equal, others stay apart, and no name with a letter in it becomes empty."""
     for letter, spelled in _SPELLED.items():
         text = F.replace(text, F.lit(letter), F.lit(spelled))
-    marks = F.regexp_replace(text, r"\p{M}+", "")
-    return F.translate(marks, _FROM, _TO)
+    # a mark that makes a letter of its own is kept by composing it first
+    text = F.replace(F.replace(text, F.lit("и\u0306"), F.lit("й")), F.lit("И\u0306"), F.lit("й"))
+    plain = F.translate(F.regexp_replace(text, r"\p{M}+", ""), _FROM, _TO)
+    plain = F.when(plain.rlike(_ALPHABETS), _alphabetic(plain)).otherwise(plain)
+    return F.when(plain.rlike(_OTHER), _coded(plain)).otherwise(plain)
 
 
 def normalized_text(text: Column) -> Column:

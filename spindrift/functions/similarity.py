@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,58 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def _codes(texts: list[str], lengths: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
+    """Characters of texts by their number in ``number``, from 1 on; 0 behind the ends."""
+    flat = np.searchsorted(number, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)) + 1
+    out = np.zeros((len(texts), width), np.uint8 if len(number) < 255 else np.uint32)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
+
+
+def lcs_lengths(a: list[str], b: list[str], most: int = 1 << 13) -> np.ndarray:
+    """``lcs_length`` of many pairs at once, where ``a`` has 64 characters at most: one machine word
+    a pair, a step a character of ``b``."""
+    out = np.zeros(len(a), np.int64)
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    width = np.where(m <= 16, 16, np.where(m <= 32, 32, 64))
+    order = np.lexsort((n, width))
+    cuts = np.flatnonzero(np.diff(width[order], prepend=0))
+    for first, last in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for begin in range(first, last, most):
+            part = order[begin : min(begin + most, last)]
+            bits = int(width[part[0]])
+            word = np.dtype(f"uint{bits}")
+            left, right = [a[i] for i in part], [b[i] for i in part]
+            number = np.unique(np.frombuffer("".join(left + right).encode("utf-32-le", "surrogatepass"), np.uint32))
+            x, y = _codes(left, m[part], number, bits), _codes(right, n[part], number, int(n[part].max()))
+            full = np.where(m[part] == bits, ~np.uint64(0), (np.uint64(1) << (m[part] % 64).astype(np.uint64)) - np.uint64(1)).astype(word)
+            state = full.copy()
+            for j in range(y.shape[1]):
+                letter = y[:, j : j + 1]
+                at = np.packbits(x == np.where(letter > 0, letter, np.iinfo(x.dtype).max), axis=1, bitorder="little").view(word).ravel()
+                match = state & at
+                state = (state + match | state - match) & full
+            out[part] = m[part] - np.bitwise_count(state)
+    return out
+
+
+def indels(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """``indel`` of many pairs, each distinct one once."""
+    number: dict[tuple, int] = {}
+    which = [number.setdefault(pair, len(number)) for pair in zip(a, b, strict=True)]
+    pairs = [(x, y) if len(x or "") <= len(y or "") else (y, x) for x, y in number]
+    short = [i for i, (x, y) in enumerate(pairs) if x and y and x != y and len(x) <= 64]
+    value = np.zeros(len(pairs))
+    if short:
+        total = np.array([len(pairs[i][0]) + len(pairs[i][1]) for i in short])
+        value[short] = 2.0 * lcs_lengths([pairs[i][0] for i in short], [pairs[i][1] for i in short]) / total
+    quick = set(short)
+    for i, (x, y) in enumerate(pairs):
+        if i not in quick:
+            value[i] = indel(x, y)
+    return value[which]
+
+
 def indel(a: str | None, b: str | None) -> float:
     """2 LCS / (length of both), 0 if either is missing or empty."""
     if not a or not b:
@@ -72,7 +125,7 @@ def _paired(kernel, a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _paired(indel, a, b)
+    return pd.Series(indels(a.tolist(), b.tolist()), dtype="float64")
 
 
 @F.pandas_udf(DoubleType())

@@ -7,7 +7,9 @@ as long as ``least`` demands. Unless ``country`` is off, the country is part of
 
 All blocks of a catalogue run as one plan: records are exploded to (block, key) rows, key counts of
 both sides combine before the shuffle and drop keys over their cap, and one join on (block, key)
-makes the pairs. Nothing is scheduled by hand; hot keys never reach the join.
+makes the pairs. Nothing is scheduled by hand. Keys over a block's cap never reach the join; a block
+without a cap has none to drop, so estimate its pairs first (``within_budget``): adaptive execution
+splits its hot keys, but all their pairs are made.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .splits import portable_hash
+
 _PART = re.compile(r"(\w+?)(?:([<>~/])(\d+))?$")
 
 
@@ -30,6 +34,7 @@ class BlockSpec:
     least: tuple[tuple[str, int], ...] = ()
     country: bool = True
     exact: bool = False
+    only: str | None = None  # the target it is meant for, if not for all
 
     def parts(self) -> list[tuple[str, str | None, int]]:
         return [(m[1], m[2], int(m[3] or 0)) for m in map(_PART.match, self.key.split())]
@@ -57,6 +62,8 @@ def key_column(spec: BlockSpec) -> Column:
         holds = holds & (F.col(field) != "")
     for field, n in spec.least:
         holds = holds & (F.length(field) >= n)
+    if spec.only:
+        holds = holds & (F.col("entity_id").startswith("S1-") | F.col("entity_id").startswith(f"{spec.only}-"))
     columns = [part_column(*p) for p in parts]
     if spec.country:
         holds, columns = holds & (F.col("country_norm") != ""), [F.col("country_norm"), *columns]
@@ -134,8 +141,8 @@ name_first1_postal: postal_like name<1
 INFERENCE = (
     *(replace(b, name=f"v1_{b.name}", country=True) for b in EXACT),
     BlockSpec("v2_postal", "last_postal"),
-    BlockSpec("v4_address_first4_last4_len", "address_norm<4 address_norm>4 address_norm/1"),
-    BlockSpec("v4_num_address_safe", "digits", 80),
+    BlockSpec("v4_address_first4_last4_len", "address_norm<4 address_norm>4 address_norm/1", only="S3"),
+    BlockSpec("v4_num_address_safe", "digits", 80, only="S3"),
     BlockSpec("v4_postal_name", "last_postal name_norm"),
     BlockSpec("v5_name_first3_postal", "name_norm<3 last_postal"),
     BlockSpec("v5_postal_addr_tail5", "last_postal address_norm>5"),
@@ -199,6 +206,14 @@ def pair_estimates(left: DataFrame, right: DataFrame, specs) -> DataFrame:
     return filled.select("block", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pairs", "keys", "largest")))
 
 
+def shard_sizes(records: DataFrame, specs, shards: int = 64) -> DataFrame:
+    """Of each block the rows of its largest shard, keys being dealt by a portable hash, and of its
+    largest key: how evenly its join can be split."""
+    rows = keyed(records, specs).groupBy("block", "key").agg(F.count("*").alias("n"))
+    dealt = rows.groupBy("block", F.pmod(portable_hash(F.col("key")), F.lit(shards)).alias("shard")).agg(F.sum("n").alias("rows"), F.max("n").alias("key_rows"))
+    return dealt.groupBy("block").agg(F.max("rows").alias("largest_shard"), F.max("key_rows").alias("largest_key"))
+
+
 def block_pairs(left: DataFrame, right: DataFrame, specs) -> DataFrame:
     """(source1_entity_id, candidate_entity_id, block_name, is_exact) of all blocks."""
     l_rows, r_rows = keyed(left, specs), keyed(right, specs)

@@ -25,6 +25,24 @@ def aggregated(pairs: DataFrame, clip: int = 5) -> DataFrame:
     )
 
 
+def aggregated_labelled(rows: DataFrame) -> DataFrame:
+    """Evidence of candidate files that carry their own (``block_name``, ``exact_key_count``,
+    ``match_keys``): rows, distinct blocks, the largest exact count, and both lists of names."""
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(F.nullif(c, F.lit("")))), ",").alias
+    return rows.groupBy(*PAIR).agg(
+        F.count("*").alias("evidence_rows"),
+        F.countDistinct("block_name").alias("evidence_file_count"),
+        F.max("exact_key_count").cast("bigint").alias("exact_key_count"),
+        names("block_name")("block_names"),
+        names("match_keys")("match_keys"),
+    )
+
+
+def by_strength(rows: DataFrame) -> DataFrame:
+    """Candidates of each record, strongest first; equal ones by id."""
+    return rows.orderBy("source1_entity_id", F.desc("exact_key_count"), "candidate_entity_id")
+
+
 def merged(pairs: DataFrame) -> DataFrame:
     """Summed evidence, the largest block name and whether an exact key made the pair."""
     return pairs.groupBy(*PAIR).agg(F.count("*").alias("evidence_count"), F.max("block_name").alias("last_block"), F.bool_or(F.col("is_exact") == 1).alias("from_exact"))

@@ -124,18 +124,39 @@ def best_threshold(table: DataFrame, tops: DataFrame, utility: str, truth: DataF
     return curve.unionByName(none).orderBy(F.desc("macro_f05"), F.desc("threshold")).limit(1)
 
 
+def policy_cells(table: DataFrame, a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
+    """Records by what decides the outcome of a pair of policies: (la, lb, truth, ha, hb, n). ``a``
+    and ``b`` have a record's candidate and ``level``, how many of a target's policies, in rising
+    order of strictness, accept it. Few rows, whatever the number of records."""
+    flagged = lambda df, p: df.select(S1, C, F.col("level").alias(f"l{p}")).join(truth.withColumn(f"h{p}", F.lit(1)), [S1, C], "left").drop(C)
+    rows = table.select(S1, "truth").join(flagged(a, "a"), S1, "left").join(flagged(b, "b"), S1, "left")
+    return rows.groupBy("truth", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("la", "lb", "ha", "hb"))).agg(F.count("*").alias("n"))
+
+
+def cell_metrics(cells: DataFrame, policies: list[tuple[int, int]]) -> DataFrame:
+    """Metrics of pairs of policies, given by their numbers (ia, ib): policy i accepts what has a
+    level above i. Cells meet a stated set of policies, records don't."""
+    grid = cells.sparkSession.createDataFrame(policies, "ia int, ib int")
+    rows = cells.crossJoin(F.broadcast(grid))
+    takes = lambda p: (F.col(f"l{p}") > F.col(f"i{p}")).cast("int")
+    rows = rows.select("ia", "ib", "n", "truth", (takes("a") + takes("b")).alias("p"), (takes("a") * F.col("ha") + takes("b") * F.col("hb")).alias("h"))
+    score = f05(F.col("truth"), F.col("p"), F.col("h"))
+    total = lambda c, name: F.sum(F.col("n") * c).cast("bigint").alias(name)
+    return rows.groupBy("ia", "ib").agg(F.round(F.sum(F.col("n") * score) / F.sum("n"), 9).alias("macro_f05"), total(F.col("p"), "n_predicted"), total(F.col("h"), "n_hits"))
+
+
 def threshold_grid(table: DataFrame, tops_a: DataFrame, tops_b: DataFrame, utility: str, truth: DataFrame, a: list[float], b: list[float]) -> DataFrame:
     """Metrics of every pair of thresholds of a small grid, in one pass over the records."""
-    grid = table.sparkSession.createDataFrame([(x, y) for x in a for y in b], "ta double, tb double")
-    flagged = lambda tops, p: tops.select(S1, C, F.col(utility).alias(f"u{p}")).join(truth.withColumn(f"h{p}", F.lit(1)), [S1, C], "left").drop(C)
-    rows = table.select(S1, "truth").join(flagged(tops_a, "a"), S1, "left").join(flagged(tops_b, "b"), S1, "left")
-    rows = rows.crossJoin(F.broadcast(grid))  # a stated set of policies, at most a few hundred
-    takes = lambda p: F.coalesce(F.col(f"u{p}") >= F.col(f"t{p}"), F.lit(False))
-    predicted = takes("a").cast("int") + takes("b").cast("int")
-    hits = sum((F.when(takes(p), F.coalesce(f"h{p}", F.lit(0))).otherwise(0) for p in "ab"), F.lit(0))
-    rows = rows.select("ta", "tb", "truth", predicted.alias("predicted"), hits.alias("hits"))
-    t, p, h = F.col("truth"), F.col("predicted"), F.col("hits")
-    return rows.groupBy("ta", "tb").agg(F.round(F.avg(f05(t, p, h)), 9).alias("macro_f05"), F.sum(p).alias("n_predicted"), F.sum(h).alias("n_hits"))
+    a, b = sorted(set(a)), sorted(set(b))
+
+    def levels(tops: DataFrame, cuts: list[float]) -> DataFrame:
+        passed = sum((F.when(F.col(utility) >= x, 1).otherwise(0) for x in cuts), F.lit(0))
+        return tops.select(S1, C, passed.alias("level"))
+
+    cells = policy_cells(table, levels(tops_a, a), levels(tops_b, b), truth)
+    out = cell_metrics(cells, [(i, j) for i in range(len(a)) for j in range(len(b))])
+    name = lambda cuts, i: F.get(F.array(*map(F.lit, cuts)).cast("array<double>"), i)
+    return out.select(name(a, "ia").alias("ta"), name(b, "ib").alias("tb"), "macro_f05", "n_predicted", "n_hits")
 
 
 def joint_thresholds(table: DataFrame, tops_a: DataFrame, tops_b: DataFrame, utility: str, truth: DataFrame) -> DataFrame:

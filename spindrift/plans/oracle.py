@@ -76,16 +76,18 @@ def keys_sql(specs, where: str) -> str:
         if s.country:
             holds.append("country_norm <> ''")
             columns.insert(0, "country_norm")
+        if s.only:
+            holds.append(f"(starts_with(entity_id, 'S1-') OR starts_with(entity_id, '{s.only}-'))")
         cap = "NULL" if s.cap is None else s.cap
         rows.append(f"SELECT '{s.name}' AS block, {' || chr(124) || '.join(f'({c})' for c in columns)} AS key, entity_id AS id, CAST({cap} AS BIGINT) AS cap, {int(s.exact)} AS exact FROM ent WHERE {where} AND {' AND '.join(holds)}")
     return "\nUNION ALL ".join(rows)
 
 
-def block_ctes(specs, target: str, tag: str = ""):
+def block_ctes(specs, target: str, tag: str = "", left: str = "starts_with(entity_id, 'S1-')"):
     """lk, rk (keys), good (keys on both sides within their cap) and pairs of one direction."""
     counts = lambda side: f"SELECT block, key, cap, count(*) AS n FROM {side}k{tag} GROUP BY ALL HAVING cap IS NULL OR count(*) <= cap"
     return [
-        (f"lk{tag}", keys_sql(specs, "starts_with(entity_id, 'S1-')")),
+        (f"lk{tag}", keys_sql(specs, left)),
         (f"rk{tag}", keys_sql(specs, f"starts_with(entity_id, '{target}-')")),
         (f"lc{tag}", counts("l")),
         (f"rc{tag}", counts("r")),

@@ -332,7 +332,10 @@ def threshold_grid(spark, d):
     return metrics.threshold_grid(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d), list(_GRID), list(_GRID))
 
 
-@query()
+_JOINT = [*BOTH, *TOPS, ("nothing", "SELECT * FROM tops WHERE false"), o.policy_cte("pt", "nothing", "gt"), ("flag", "SELECT pt.truth, a.base_score AS ua, b.base_score AS ub, CASE WHEN ga.source1_entity_id IS NULL THEN 0 ELSE 1 END AS ha, CASE WHEN gb.source1_entity_id IS NULL THEN 0 ELSE 1 END AS hb, count(*) AS n FROM pt LEFT JOIN ranked2 a ON a.source1_entity_id = pt.source1_entity_id AND a.base_rank = 1 LEFT JOIN gt ga ON ga.source1_entity_id = a.source1_entity_id AND ga.candidate_entity_id = a.candidate_entity_id LEFT JOIN ranked3 b ON b.source1_entity_id = pt.source1_entity_id AND b.base_rank = 1 LEFT JOIN gt gb ON gb.source1_entity_id = b.source1_entity_id AND gb.candidate_entity_id = b.candidate_entity_id GROUP BY ALL"), ("ca", "SELECT DISTINCT ua AS t FROM flag WHERE ua IS NOT NULL UNION ALL SELECT 'inf'::DOUBLE"), ("cb", "SELECT DISTINCT ub AS t FROM flag WHERE ub IS NOT NULL UNION ALL SELECT 'inf'::DOUBLE"), ("st", "SELECT x.t AS ta, y.t AS tb, n, truth, CASE WHEN ua >= x.t THEN 1 ELSE 0 END + CASE WHEN ub >= y.t THEN 1 ELSE 0 END AS predicted, CASE WHEN ua >= x.t THEN ha ELSE 0 END + CASE WHEN ub >= y.t THEN hb ELSE 0 END AS hits FROM flag, ca x, cb y")]
+
+
+@query(o.with_(_JOINT, f"SELECT ta AS threshold_a, tb AS threshold_b, round(sum(n * {o.f05()}) / sum(n), 9) AS macro_f05 FROM st GROUP BY 1, 2 ORDER BY round(sum(n * {o.f05()}) / sum(n), 12) DESC, ta DESC, tb DESC LIMIT 1"))
 def joint_thresholds(spark, d):
     return metrics.joint_thresholds(_none(spark, d), _top(spark, d, "S2"), _top(spark, d, "S3"), "u", _truth(spark, d))
 
@@ -370,7 +373,14 @@ for _t in ("S2", "S3"):
 _register_audit("block_transfer", blocking.TRANSFER, "S3")
 
 
-@query()
+def _greedy_sql(target: str, budget: int) -> str:
+    """The greedy choice as a recursion over the blocks in their order of merit."""
+    names = ", ".join(f"('{s.name}')" for s in blocking.RECOVERY)
+    ctes = [*_recovery_ctes(blocking.RECOVERY, target), ("cost", "SELECT block, CAST(sum(nl * nr) AS BIGINT) AS pairs FROM good GROUP BY 1"), ("cov", "SELECT block, count(*) FILTER (NOT known) AS new_truth FROM hit GROUP BY 1"), ("merit", f"SELECT block, pairs, row_number() OVER (ORDER BY round(new_truth * 1000000 / pairs, 6) DESC, block) AS k FROM (VALUES {names}) b(block) JOIN cost USING (block) JOIN cov USING (block) WHERE new_truth > 0"), ("walk", f"SELECT 0 AS k, CAST(0 AS BIGINT) AS spent, 0 AS chosen, NULL::VARCHAR AS block, false AS taken UNION ALL SELECT m.k, CASE WHEN w.spent + m.pairs <= {budget} THEN w.spent + m.pairs ELSE w.spent END, CASE WHEN w.spent + m.pairs <= {budget} THEN w.chosen + 1 ELSE w.chosen END, m.block, w.spent + m.pairs <= {budget} FROM walk w JOIN merit m ON m.k = w.k + 1")]
+    return o.with_(ctes, "SELECT CAST(chosen - 1 AS INTEGER) AS place, block FROM walk WHERE taken").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_greedy_sql("S3", 5000))
 def greedy_blocks(spark, d):
     target = "S3"
     table = metrics.block_recovery(_truth(spark, d, target), _pool(spark, d, target), *_sides(spark, d, target), blocking.RECOVERY)
@@ -514,7 +524,7 @@ def pairwise_ranking(spark, d):
 @query()
 def pointwise_ranking(spark, d):
     rows = _labelled(spark, d)
-    model = training.fit_pointwise(rows.where("is_validation = 0"))
+    model = training.fit_pointwise(training.pointwise_rows(rows.where("is_validation = 0")))
     return training.pointwise_ranked(model, rows).select(S1, C, F.round("probability_1", 6).alias("probability_1"), "rank", "label")
 
 
@@ -569,6 +579,9 @@ def event_counts(spark, d):
     return incremental.event_counts(spark.read.parquet(f"{d}/events.parquet"))
 
 
+from . import audit_queries as _  # noqa: E402, F401  registers its own
+
+
 def queries():
     return dict(_QUERIES)
 

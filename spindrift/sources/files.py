@@ -45,6 +45,18 @@ def candidate_tables(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if {"source1_entity_id", "candidate_entity_id"} <= set(spark.read.parquet(p).columns)]
 
 
+def discover_candidates(spark: SparkSession, folder: str) -> list[str]:
+    """All Parquet files under ``folder``, at any depth, whose schema has both id columns; any file
+    system that Spark reads."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.endswith(".parquet"):
+            found.append(path)
+    return candidate_tables(spark, sorted(found))
+
+
 def empty(spark: SparkSession, schema: T.StructType = CANDIDATE) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -61,6 +73,18 @@ def write_results(df: DataFrame, path: str, order: str = "source1_entity_id", se
     rows.write.mode("error").option("sep", sep).option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
+def write_submissions(ranked: DataFrame, folder: str, rank: str, ks=(1, 5, 10, 20), columns: tuple[str, ...] = ("source1_entity_id", "candidate_entity_id"), files: int | None = 1) -> dict[int, str]:
+    """For each k a comma-separated file of the pairs up to that rank, by record and rank; the paths
+    by k."""
+    paths = {k: f"{folder}/top_{k}" for k in ks}
+    for k, path in paths.items():
+        rows = ranked.where(F.col(rank) <= k).select(*columns, F.col(rank).alias("rank"))
+        order = [columns[0], "rank"]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if files is None else rows.orderBy(*order).coalesce(files)
+        rows.write.mode("error").option("header", True).option("emptyValue", "").csv(path)
+    return paths
+
+
 def read_results(spark: SparkSession, path: str, columns: tuple[str, str], sep: str = "\t") -> DataFrame:
     return spark.read.schema(", ".join(f"{c} string" for c in columns)).option("sep", sep).option("header", True).csv(path)
 
