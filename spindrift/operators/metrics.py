@@ -9,9 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.files import written_once
+
 from . import blocking
 from .scoring import C, S1
 
+#: Distinct utilities that are summed up in one task, about.
+RANGE_ROWS = 1_000_000
 M = "matched_entity_id"
 
 
@@ -91,16 +95,20 @@ def _events(table: DataFrame, tops: DataFrame, utility: str, truth: DataFrame) -
 def threshold_curve(table: DataFrame, tops: DataFrame, utility: str, truth: DataFrame) -> DataFrame:
     """Macro F0.5 at every observed utility taken as threshold; equal utilities advance together.
 
-    Gains are added up by utility first, so the ordered running sum passes over one row a distinct
-    utility; ranges of utilities are summed apart and then offset, so no task holds the whole
-    order."""
-    by_u = _events(table, tops, utility, truth).groupBy("u").agg(*(F.sum(c).alias(c) for c in ("gain", "more", "more_hits", "single")))
+    Gains are added up by utility first and written once, so the ordered running sum passes over one
+    row a distinct utility; ranges between quantiles of the utility are summed apart and then
+    offset, so no task holds the whole order."""
+    by_u = written_once(_events(table, tops, utility, truth).groupBy("u").agg(*(F.sum(c).alias(c) for c in ("gain", "more", "more_hits", "single"))))
     totals = table.agg(F.count("*").alias("records"), F.sum(f05(F.col("truth"), F.col("predicted"), F.col("hits"))).alias("base"), F.sum("truth").alias("all_truth"), F.sum("predicted").alias("base_p"), F.sum("hits").alias("base_h"))
-    spread = by_u.repartitionByRange(F.desc("u")).withColumn("range", F.spark_partition_id())
+    ranges = 8 + by_u.count() // RANGE_ROWS
+    cuts = sorted(set(by_u.approxQuantile("u", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    # the number of cuts above: falls as the utility rises
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x > F.col("u")))
+    spread = by_u.withColumn("range", above)
     within = Window.partitionBy("range").orderBy(F.desc("u"))
     sums = [F.sum(c).over(within).alias(f"s_{c}") for c in ("gain", "more", "more_hits")]
     local = spread.select("u", "range", *sums)
-    # one row a range: bounded by the number of partitions
+    # one row a range
     ends = spread.groupBy("range").agg(*(F.sum(c).alias(f"e_{c}") for c in ("gain", "more", "more_hits")))
     offset = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select("range", *(F.coalesce(F.sum(f"e_{c}").over(offset), F.lit(0)).alias(f"o_{c}") for c in ("gain", "more", "more_hits")))

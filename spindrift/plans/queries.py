@@ -536,8 +536,8 @@ _DIRTY = """SELECT CASE WHEN k % 19 = 0 THEN source1_entity_id || ' ' || coalesc
 def _dirty_lines(spark, d):
     """A result file with one of each fault in it, as lines."""
     ids = records(spark, d, "S1").select(F.col("entity_id").alias(S1)).join(truth_lists(spark, d), S1, "left")
-    ids.select(S1, F.col("matched_entity_ids").alias("m"), F.regexp_replace(S1, "S1-", "").cast("bigint").alias("k")).createOrReplaceTempView("base")
-    return spark.sql(_DIRTY)
+    base = ids.select(S1, F.col("matched_entity_ids").alias("m"), F.regexp_replace(S1, "S1-", "").cast("bigint").alias("k"))
+    return spark.sql(_DIRTY.replace("FROM base", "FROM {base}"), base=base)
 
 
 def _faults(spark, d):

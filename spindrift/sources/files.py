@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,20 @@ def manifest(metrics: DataFrame, **more) -> str:
     return json.dumps({**metrics.limit(1).collect()[0].asDict(recursive=True), **more}, sort_keys=True, default=str)
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, for tables that several
+    parts of a plan read. The folder is ``spark.checkpoint.dir``; one of our own is set only where
+    that is unset and all tasks run on this machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
+    return df.checkpoint(eager=True)
+
+
 def stage(df: DataFrame, folder: str, name: str, config: dict) -> DataFrame:
     """Write a stage's result once for each configuration and read it back: a later run with the
     same configuration resumes from it, another one writes its own."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import normalize, similarity
-from spindrift.operators import blocking, evidence, metrics, policy, scoring, splits, training, validate
+from spindrift.operators import audits, blocking, evidence, metrics, policy, scoring, splits, training, validate
 from spindrift.operators.scoring import C, S1
 from spindrift.plans import queries
 from spindrift.sources import files, packaging
@@ -250,3 +250,113 @@ def test_evidence_counts_blocks_once(spark):
     pairs = spark.createDataFrame([("S1-1", "S2-1", "a", 1), ("S1-1", "S2-1", "a", 1), ("S1-1", "S2-1", "b", 0)], f"{S1} string, {C} string, block_name string, is_exact int")
     assert values(evidence.aggregated(pairs), "evidence_rows", "evidence_file_count", "exact_key_count", "block_names") == [(3, 2, 2, "a,b")]
     assert values(evidence.match_keys(pairs), "match_keys", "exact_key_count") == [("a|b", 2)]
+
+
+def test_similarity_in_batches():
+    rng = random.Random(2)
+    for letters in ("ab ", "abcdefé日", "".join(map(chr, range(0x4E00, 0x4E00 + 700)))):
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 63, 64, 65, 90]))) for _ in range(400)] + [None]
+        a, b = rng.choices(texts, k=500), rng.choices(texts, k=500)
+        assert similarity.indels(a, b).tolist() == [similarity.indel(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.indels([], []).tolist() == []
+
+
+def test_names_in_other_scripts_stay_apart_and_never_become_empty(spark):
+    names = ["東京", "京東", "Москва", "МОСКВА", "Αθήνα", "ไทย", "עברית", "٣", "\U0001f600", "Й", "Й", "и"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string").select("i", normalize.normalized_text(F.col("x")).alias("y"))
+    got = [y for _, y in sorted(values(df, "i", "y"))]
+    assert got[0] != got[1] and got[2] == got[3] == "moskva" and got[4] == "athena" and got[7] == "3"
+    assert got[8] == "" and all(y for x, y in zip(names, got, strict=True) if x != "\U0001f600")
+    assert got[9] == got[10] == got[11] == "i"
+
+
+def test_blocks_for_one_target_only(spark):
+    rows = entities(spark, [(f"S{k}-{i}", "acme tools", "12 main street 90210", "us") for k in (1, 2, 3) for i in (1, 2)])
+    made = values(blocking.keyed(rows, blocking.INFERENCE), "block", "id")
+    assert {i[:2] for b, i in made if b == "v4_num_address_safe"} == {"S1", "S3"} == {i[:2] for b, i in made if b == "v4_address_first4_last4_len"}
+    assert {i[:2] for b, i in made if b == "v5_name_first3_postal"} == {"S1", "S2", "S3"}
+
+
+def test_keys_by_hand(spark):
+    """Keys of one record, written out."""
+    row = entities(spark, [("S1-1", "Acme Tools Ltd", "0012 Main Street 90210", "usa")])
+    wanted = {
+        "name_f3_l2_len5": "us|acm|td|2",
+        "name_f2_l3_postal": "us|90210|ac|ltd",
+        "name_f2_addr_f3_len5": "us|ac|001|3",
+        "addr_f4_tail4_name_f1": "us|0012|0210|a",
+        "postal_addr_f3_tail2_name_f1": "us|90210|001|10|a",
+        "num_addr_name_prefix4": "us|001290210|acme",
+        "num_addr_name_f1_l2": "us|001290210|a|td",
+        "name_f1_addr_f4_tail2": "us|a|0012|10",
+    }
+    got = dict(values(blocking.keyed(row, blocking.RECOVERY), "block", "key"))
+    assert {k: got[k] for k in wanted} == wanted
+    union = dict(values(blocking.keyed(row, blocking.UNION), "block", "key"))
+    assert union == {"num_addr_name_prefix2": "us|001290210|ac", "addr_last2_postal": "us|90210|10", "name_last_token_postal": "us|90210|ltd", "name_first1_postal": "us|90210|a"}
+    inference = dict(values(blocking.keyed(row, blocking.INFERENCE), "block", "key"))
+    assert inference["v4_address_first4_last4_len"] == "us|0012|0210|22"
+    assert inference["v5_name_first3_postal"] == "us|acm|90210"
+    assert inference["v9_num_addr_name_prefix3"] == "us|001290210|acm"
+
+
+def test_holdouts_are_locked(spark):
+    ranked = spark.createDataFrame([("a", "S2-1", 1), ("a", "S2-2", 2), ("b", "S2-3", 30), ("c", "S2-4", 1)], f"{S1} string, {C} string, r int")
+    truth = spark.createDataFrame([("a", "S2-2"), ("b", "S2-3"), ("b", "S2-9"), ("d", "S2-1"), ("c", "S2-4")], f"{S1} string, {C} string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], f"{S1} string")
+    (row,) = audits.holdout_evaluation(truth, ranked, ids("a", "b", "d", "a"), ids("c"), "r").collect()
+    assert (row.truth_pairs, row.truth_records, row.covered, row.covered_at_1, row.covered_at_3, row.covered_at_20) == (4, 3, 2, 0, 1, 1)
+    assert (row.missed_not_candidate, row.missed_rank_over_20, row.candidate_rows, row.records_without_candidates) == (2, 1, 3, 1)
+    with pytest.raises(ValueError):
+        audits.holdout_evaluation(truth, ranked, ids("a"), ids("a", "z"), "r")
+
+
+def test_neighbouring_thresholds(spark):
+    tops = spark.createDataFrame([(float(u),) for u in [1, 2, 2, 3, 5, 8, 13, 21]] + [(None,)], "u double")
+    assert audits.neighbours(tops, "u", 4.0, 2) == [2.0, 3.0, 5.0, 8.0, 13.0]
+    assert audits.neighbours(tops, "u", 100.0, 2) == [8.0, 13.0, 21.0]
+    assert audits.neighbours(tops.limit(0), "u", 1.0) == []
+
+
+def test_new_truth_histograms(spark):
+    pair = f"{S1} string, {C} string"
+    truth = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")], pair)
+    evidence_rows = spark.createDataFrame([("a", "x", 2, "p,q"), ("a", "y", 1, "p"), ("b", "z", 1, "p"), ("e", "x", 1, "p")], f"{pair}, evidence_file_count long, block_names string")
+    got = values(audits.new_truth_histograms(truth, spark.createDataFrame([("b", "z")], pair), evidence_rows, 1), "by", "value", "n")
+    assert sorted(got) == [("number", "1", 1), ("number", "2", 1), ("pattern", "p", 1)]
+
+
+def test_the_pairwise_ranker_is_an_optimum(spark):
+    """No coefficient can move: the gradient of the penalised loss is zero."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        x = [rng.gauss(0.4 if i < 3 else 0, 1) for i in range(len(scoring.FEATURES))]
+        rows += [(*x, 1), (*(-v for v in x), 0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in scoring.FEATURES) + ", pair_label int")
+    model = training.fit_pairwise(df)
+    gradient = [0.0] * len(scoring.FEATURES)
+    for *x, label in rows:
+        z = [(v - m) / s for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        error = 1 / (1 + math.exp(-model.intercept - sum(a * b for a, b in zip(z, model.coefficients, strict=True)))) - label
+        gradient = [g + error * v for g, v in zip(gradient, z, strict=True)]
+    assert max(abs(g + w) / len(rows) for g, w in zip(gradient, model.coefficients, strict=True)) < 1e-3
+
+
+def test_discovery_and_submissions(spark, tmp_path):
+    pairs = spark.createDataFrame([("S1-1", "S2-2", 1), ("S1-1", "S2-1", 2), ("S1-2", "S2-3", 7)], f"{S1} string, {C} string, place int")
+    pairs.coalesce(1).write.parquet(str(tmp_path / "in/deep/er"))
+    pairs.select(S1).coalesce(1).write.parquet(str(tmp_path / "in/other"))
+    found = files.discover_candidates(spark, str(tmp_path / "in"))
+    assert len(found) == 1 and "/deep/er/" in found[0]
+    assert files.read_tables(spark, *found).count() == 3
+    paths = files.write_submissions(pairs, str(tmp_path / "out"), "place", (1, 5))
+    assert sorted(paths) == [1, 5]
+    lines = spark.read.text(paths[5]).collect()
+    assert [r.value for r in lines] == [f"{S1},{C},rank", "S1-1,S2-2,1", "S1-1,S2-1,2"]
+    assert spark.read.option("header", True).csv(paths[1]).count() == 1
+
+
+def test_candidates_by_strength(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "w", 2), ("a", "v", 2), ("b", "u", 1)], f"{S1} string, {C} string, exact_key_count long")
+    assert values(evidence.by_strength(rows), S1, C) == [("a", "v"), ("a", "w"), ("a", "x"), ("b", "u")]
