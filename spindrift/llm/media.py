@@ -6,7 +6,8 @@ deferred clear codes). ``media_columns`` applies both to a text column, reading
 from the stored bytes.
 
 Defined cases: a null text counts as empty, an empty text stores 64 zero bytes, repeated rows and
-equal texts give equal values, an empty table gives an empty result; only the two named input
+equal texts give equal values, a text of any length is stored whole, in as many frames as it takes,
+an empty table gives an empty result; only the two named input
 columns are read, so extra columns cannot clash. A damaged stream raises ValueError.
 """
 

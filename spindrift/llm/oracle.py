@@ -44,3 +44,43 @@ words AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d)
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+# kind: pattern (its value in group 1), least length of the value
+_SECRETS = {"assign": (rf"""(?:{_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6), "access": ("(AKIA[A-Z0-9]+)", 20), "hex": ("([0-9a-f]+)", 24)}
+
+
+def _found(number: int, kind: str) -> str:
+    """Matches with their places: what lies between matches, and the matches, add up to the text."""
+    pattern, least = _SECRETS[kind]
+    plain = pattern.replace("([A", "(?:[A").replace("([0", "(?:[0").replace("(AKIA", "(?:AKIA")
+    upto = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind, CAST(x.a AS BIGINT) AS a, CAST(x.a + x.n AS BIGINT) AS b FROM (
+  SELECT doc_id, unnest(list_filter(list_transform(range(1, len(whole) + 1), lambda i: {{'a': {upto}, 'n': length(whole[i]), 'v': length(said[i])}}), lambda y: y.v >= {least})) AS x
+  FROM (SELECT doc_id, string_split_regex(t, '{plain}') AS parts, regexp_extract_all(t, '{plain}') AS whole, regexp_extract_all(t, '{pattern}', 1) AS said FROM texts))"""
+
+
+SECRETS = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({' UNION ALL '.join(_found(i, kind) for i, kind in enumerate(_SECRETS))}),
+joined AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS said FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
+URL_RULES = """
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('www.example.com/en/', 'www.example.com', '/en/'), ('net/es/', 'net', '/es/'), ('net/fr/', 'net', '/fr/')) t(rule, h, q))
+SELECT page_id, host, path, (SELECT rule FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) ORDER BY length(rule) DESC LIMIT 1) AS rule FROM p
+"""
+
+PAYLOADS = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS size FROM t)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(text || repeat(chr(0), size - n)) AS payload_sha256 FROM p
+"""

@@ -55,9 +55,24 @@ def op10_gif_columns(spark, sf_dir):
     return media.media_digest(read(spark, sf_dir, "documents"))
 
 
+def secret_base_spans(spark, sf_dir):
+    """What of the fourth operator's result SQL can state."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def url_rules(spark, sf_dir):
+    """What of the ninth operator's result SQL can state."""
+    return op9_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def media_payloads(spark, sf_dir):
+    """What of the tenth operator's result SQL can state."""
+    return op10_gif_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_preference_format, op2_gumbel_topk, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_token_counts, op7_substring_dedup, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages)}
+    return {f.__name__: f for f in (op1_preference_format, op2_gumbel_topk, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_token_counts, op7_substring_dedup, op8_language_id, op9_url_filter, op10_gif_columns, language_of_pages, secret_base_spans, url_rules, media_payloads)}
 
 
 def oracle_sql():
-    return {"op1_preference_format": oracle.PREFERENCE, "op3_decontaminate": oracle.DECONTAMINATE, "op7_substring_dedup": oracle.SUBSTRINGS}
+    return {"op1_preference_format": oracle.PREFERENCE, "op3_decontaminate": oracle.DECONTAMINATE, "op7_substring_dedup": oracle.SUBSTRINGS, "secret_base_spans": oracle.SECRETS, "url_rules": oracle.URL_RULES, "media_payloads": oracle.PAYLOADS}

@@ -254,10 +254,10 @@ def test_preferences_of_a_hot_opening_are_a_chain(spark):
     assert sorted(got) == sorted(zip(order, order[1:], strict=False))
 
 
-@pytest.mark.parametrize("name", ["op1_preference_format", "op3_decontaminate", "op7_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_preference_format", "op3_decontaminate", "op7_substring_dedup", "secret_base_spans", "url_rules", "media_payloads"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     wanted = con.sql(queries.oracle_sql()[name])
     columns = sorted(wanted.columns)
