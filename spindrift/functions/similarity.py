@@ -111,16 +111,61 @@ def jaro_winkler_of(a: str | None, b: str | None) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def _paired(kernel, a: pd.Series, b: pd.Series) -> pd.Series:
-    """The kernel once for each distinct pair of a batch."""
-    seen: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        value = seen.get(pair)
-        if value is None:
-            value = seen[pair] = kernel(*pair)
-        out.append(value)
-    return pd.Series(out, dtype="float64")
+def _bits_below(k: np.ndarray) -> np.ndarray:
+    """A word with the lowest ``k`` (0 to 64) bits set."""
+    return np.where(k >= 64, ~np.uint64(0), (np.uint64(1) << (k % 64).astype(np.uint64)) - np.uint64(1))
+
+
+def _lowest(word: np.ndarray) -> np.ndarray:
+    return word & (~word + np.uint64(1))
+
+
+def _jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler_of`` of pairs of texts of 1 to 64 characters: a text is a machine word, whose
+    lowest free bit in reach is the character that a character matches."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    number = np.unique(np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32))
+    x, y = _codes(a, la, number, 64), _codes(b, lb, number, 64)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    taken, hit = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    for i in range(int(la.max())):
+        letter = x[:, i : i + 1]
+        at = np.packbits(y == np.where(letter > 0, letter, np.iinfo(x.dtype).max), axis=1, bitorder="little").view(np.uint64).ravel()
+        window = _bits_below(np.minimum(lb, i + reach + 1)) & ~_bits_below(np.clip(i - reach, 0, 64))
+        free = _lowest(at & window & ~taken)
+        taken |= free
+        hit |= (free > 0).astype(np.uint64) << np.uint64(i)
+    m, rows = np.bitwise_count(hit).astype(np.int64), np.arange(len(a))
+    different, left, right = np.zeros(len(a), np.int64), hit.copy(), taken.copy()
+    for _ in range(int(m.max())):  # matched characters of both, in order
+        p, q = _lowest(left), _lowest(right)
+        i, j = (np.minimum(np.bitwise_count(z - np.uint64(1)), 63) for z in (p, q))
+        different += (p > 0) & (x[rows, i] != y[rows, j])
+        left, right = left ^ p, right ^ q
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la + m / lb + (m - different // 2) / some) / 3, 0.0)
+    prefix, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for k in range(4):
+        same &= (x[:, k] == y[:, k]) & (x[:, k] > 0)
+        prefix += same
+    return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+
+
+def jaro_winklers(a: list[str | None], b: list[str | None], most: int = 1 << 13) -> np.ndarray:
+    """``jaro_winkler_of`` of many pairs, each distinct one once."""
+    number: dict[tuple, int] = {}
+    which = [number.setdefault(pair, len(number)) for pair in zip(a, b, strict=True)]
+    pairs = list(number)
+    short = [i for i, (x, y) in enumerate(pairs) if x and y and x != y and len(x) <= 64 and len(y) <= 64]
+    value = np.zeros(len(pairs))
+    for at in range(0, len(short), most):
+        part = short[at : at + most]
+        value[part] = _jaro_winklers([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    quick = set(short)
+    for i, (x, y) in enumerate(pairs):
+        if i not in quick:
+            value[i] = jaro_winkler_of(x, y)
+    return value[which]
 
 
 @F.pandas_udf(DoubleType())
@@ -130,7 +175,7 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _paired(jaro_winkler_of, a, b)
+    return pd.Series(jaro_winklers(a.tolist(), b.tolist()), dtype="float64")
 
 
 def char_jaccard(a: Column, b: Column) -> Column:

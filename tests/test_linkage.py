@@ -258,7 +258,8 @@ def test_similarity_in_batches():
         texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 63, 64, 65, 90]))) for _ in range(400)] + [None]
         a, b = rng.choices(texts, k=500), rng.choices(texts, k=500)
         assert similarity.indels(a, b).tolist() == [similarity.indel(x, y) for x, y in zip(a, b, strict=True)]
-    assert similarity.indels([], []).tolist() == []
+        assert similarity.jaro_winklers(a, b).tolist() == [similarity.jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.indels([], []).tolist() == similarity.jaro_winklers([], []).tolist() == []
 
 
 def test_names_in_other_scripts_stay_apart_and_never_become_empty(spark):
