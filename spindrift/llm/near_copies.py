@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_slices, release
-from .components import components
+from .components import components, join_facts
 from .simhash import fingerprints_of, linked_fingerprints, shingle_hashes
 
 SHINGLE = 5
@@ -176,9 +176,9 @@ def compared(rows: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray
 def _open_pairs(open_: DataFrame, similarity: float, cluster: int) -> DataFrame:
     """(a, b) of nodes under different roots that share a shingle and pass the bounds. ``open_``:
     (s, low, node, root, n, odd)."""
-    sizes = open_.groupBy("low").count().select("low", F.ceil(F.col("count") / cluster).cast("int").alias("blocks"))
+    sizes = open_.groupBy("low").agg(F.count("*").alias("n_rows")).withColumn("blocks", F.ceil(F.col("n_rows") / cluster).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = open_.join(sizes, "low").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = join_facts(open_, sizes, "low", open_.count()).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("low", F.least("own", "other"), F.greatest("own", "other"))
     rows = dealt.select(task.alias("task"), "s", "node", "root", "n", "own", "other", "odd").repartition("task").sortWithinPartitions("task", "s")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, oracle, preference, sampling, secrets, simhash, substring_dedup, token_counts, url_filter
+from . import decontaminate, language_id, media, oracle, preference, sampling, secrets, simhash, substring_dedup, token_counts, unigram, url_filter
 from .common import read
 
 
@@ -13,7 +13,7 @@ def op1_preference_format(spark, sf_dir):
 
 
 def op2_gumbel_topk(spark, sf_dir):
-    samples = sampling.encode_samples(read(spark, sf_dir, "documents"), verify=True)
+    samples = sampling.encode_samples(read(spark, sf_dir, "documents"), model=unigram.model_path(spark), verify=True)
     return samples.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("log_inclusion", 6).alias("log_inclusion"), "exact")
 
 
@@ -30,7 +30,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 
 def op6_token_counts(spark, sf_dir):
-    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), model=unigram.model_path(spark))
 
 
 def op7_substring_dedup(spark, sf_dir):

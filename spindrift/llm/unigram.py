@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+FOLDER, FILE = "/opt/tokenizers", "piece_bpe_32k.model"
+MODEL = f"{FOLDER}/{FILE}"
 SPACE = "▁"
 _LITERAL = 0x110000  # stands for a U+2581 of the text itself: no piece has this character
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +53,11 @@ def load(model: str = MODEL) -> dict:
     }
 
 
+def model_path(spark) -> str:
+    """The vocabulary file in the folder that the setting ``spindrift.tokenizers`` names."""
+    return f"{spark.conf.get('spindrift.tokenizers', FOLDER)}/{FILE}"
+
+
 def units(text: str) -> list[str]:
     """`` text`` cut before each space and line feed."""
     if "\1" in text:
