@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, language_id, near_copies, sampling, secrets
+from spindrift.llm import decontaminate, language_id, near_copies, sampling, secrets, unigram
 from spindrift.llm.common import checkpointed, read
 
 #: Rows of 16-byte keys that may be broadcast; more are joined by a shuffle.
@@ -69,7 +69,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations a document, as token ids."""
-    return sampling.encode_samples(docs)
+    return sampling.encode_samples(docs, model=unigram.model_path(spark))
 
 
 STAGES = [
