@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,6 +47,14 @@ def slices(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES)
             yield batch.slice(start)
 
 
+def _trim() -> None:
+    """Give freed memory back: workers are used again, and their stages' peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def map_slices(df: DataFrame, by: str, make: Callable, schema, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over bounded slices. ``make()`` runs once a task and returns a function
     from a RecordBatch to a RecordBatch, a dict of columns or an iterator of either."""
@@ -56,6 +66,7 @@ def map_slices(df: DataFrame, by: str, make: Callable, schema, most: int = SLICE
             out = step(part)
             for x in [out] if isinstance(out, (dict, pa.RecordBatch)) else out:
                 yield pa.RecordBatch.from_pydict(x) if isinstance(x, dict) else x
+        _trim()
 
     return df.mapInArrow(run, schema)
 

@@ -95,7 +95,7 @@ class Lattice:
 
     SLOTS = 21
 
-    def __init__(self, model: dict, max_nodes: int = 400_000):
+    def __init__(self, model: dict, max_nodes: int = 250_000):
         self.lexicon, self.max_nodes = unigram.Lexicon(model), max_nodes
         self.width = max(16, self.lexicon.longest)
         self.lp_of = np.full(len(model["names"]) + 1, 0.0)
@@ -392,7 +392,7 @@ def decoded(ids: np.ndarray, counts: np.ndarray, meaning: pa.BinaryArray) -> lis
     return [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, model: str = unigram.MODEL, max_nodes: int = 400_000, verify: bool = False) -> DataFrame:
+def encode_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 42, model: str = unigram.MODEL, max_nodes: int = 250_000, verify: bool = False) -> DataFrame:
     """One row a text and sample: ``sample`` (1 is the best), ``ids`` (array of int), ``log_prob``,
     ``perturbed`` and ``log_inclusion``; with ``verify`` also ``exact``, whether decoding gives the
     text back."""
