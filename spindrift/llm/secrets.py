@@ -8,8 +8,9 @@ by how sensitive its target name is and by how much the literal looks like a ran
 literal that scores ``threshold`` or more becomes a span where it stands, even if the sensitive
 name takes it from an innocent constant.
 
-Spans count code points, end exclusive. Time is linear in a text's length, for any text, and a value
-is scored by its first ``SCORED`` characters. Defined cases: a null text counts as empty, no span
+Spans count code points, end exclusive. Time is linear in a text's length, for any text (times the
+distinct characters of values that ``+`` joins), and a value is scored whole, by how often it has each
+character, so constants that double constants are never spelled out. Defined cases: a null text counts as empty, no span
 gives the empty string, a text of any length is read whole, alone in its slice; spans with the same
 start go in the order of the kinds, then by end; of two assignments to a name the last one before a
 use counts; repeated rows give repeated results, an empty table gives an empty result; only the two
@@ -49,8 +50,8 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.6, "salt": 0.6}
 #: Parts that make "key" sensitive.
 KEY_OWNERS = {"api", "access", "private", "secret", "encryption", "signing", "master", "aws", "auth", "client"}
-#: Characters of a value that are kept and scored.
-SCORED = 1024
+#: Bits of a count: of joined values of more than 2**256 characters only the proportions are kept.
+COUNT_BITS = 256
 PLACEHOLDERS = {"changeme", "example", "none", "null", "true", "false", "undefined", "todo", "xxxxxx", "password", "secret", "token"}
 
 
@@ -63,24 +64,50 @@ def sensitivity(name: str) -> float:
     return score
 
 
-def randomness(value: str) -> float:
-    """0 to 1: short values and placeholders 0, else by entropy a character and kinds of character."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4:
+def randomness_of(counts: dict[str, int], n: int, said: str | None = None) -> float:
+    """``randomness`` of a value of ``n`` characters by its counts; short ones need the text too."""
+    if n < 6 or said is not None and said.lower() in PLACEHOLDERS or len(counts) < 4:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    seen = "".join(counts)
+    kinds = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.25 * min(entropy, 4) * (0.6 + 0.2 * kinds))
 
 
+def randomness(value: str) -> float:
+    """0 to 1: short values and placeholders 0, else by entropy a character and kinds of character."""
+    return randomness_of(Counter(value), len(value), value)
+
+
+_LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+
+
 class _Value:
-    """A literal or what joins some: the first ``SCORED`` characters, its place, or its parts. Parts
-    are shared and not copied, so constants that double constants stay small."""
+    """A literal with its place, or what joins some, by its parts and counts. Parts are shared and
+    not copied, and the text of a joined value is kept only as long as it may be a placeholder."""
+
+    __slots__ = ("counts", "n", "parts", "place", "said")
+
+    def __init__(self, said: str | None, place: tuple[int, int] | None = None, parts: list[_Value] | None = None):
+        self.said, self.place, self.parts, self.counts = said, place, parts or (), None
+        if parts is None:
+            self.n = len(said)
+            return
+        self.n, self.counts = sum(p.n for p in parts), {}
+        if self.n <= _LONGEST_PLACEHOLDER:
+            self.said = "".join(p.said for p in parts)
+        for p in parts:
+            for c, k in p.counted().items():
+                self.counts[c] = self.counts.get(c, 0) + k
+        if (more := self.n.bit_length() - COUNT_BITS) > 0:
+            self.counts = {c: max(1, k >> more) for c, k in self.counts.items()}
+            self.n = sum(self.counts.values())
 
-    __slots__ = ("parts", "place", "said")
+    def counted(self) -> dict[str, int]:
+        return Counter(self.said) if self.counts is None else self.counts
 
-    def __init__(self, said: str, place: tuple[int, int] | None = None, parts: list[_Value] | None = None):
-        self.said, self.place, self.parts = said[:SCORED], place, parts or ()
+    def randomness(self) -> float:
+        return randomness_of(self.counted(), self.n, self.said)
 
 
 def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
@@ -104,9 +131,9 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
         if not terms:
             continue
         name = pair["name"]
-        value = terms[0] if len(terms) == 1 else _Value("".join(t.said for t in terms[:SCORED]), None, terms)
+        value = terms[0] if len(terms) == 1 else _Value(None, None, terms)
         constants[name] = value
-        if (weight := sensitivity(name)) and weight * randomness(value.said) >= threshold:
+        if (weight := sensitivity(name)) and weight * value.randomness() >= threshold:
             reached = [value]
             while reached:
                 part = reached.pop()

@@ -404,3 +404,21 @@ def test_secret_scans_take_linear_time(text, spans):
 @pytest.mark.parametrize("text", ['os.environ["API_KEY"] = "q9ZkL2mX0p"', "cfg['token'] = 'q9ZkL2mX0p'", 'secret: Optional[str] = "q9ZkL2mX0p"', 'a = "q9ZkL2mX0p"\nb = a\na = "other"\npassword = b'])
 def test_lexer_reads_subscripts_annotations_and_the_last_assignment(text):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == ["q9ZkL2mX0p"]
+
+
+def test_secrets_scores_whole_values():
+    text = 'api_key = "' + "aaaaaaaa" * 200 + "Zk3+Qx9/Lw2-Vb7_" * 400 + '"\n'
+    value = (text.index('"') + 1, len(text) - 2)
+    assert value in secrets.lexed_spans(text)
+    # the random end of a long joined value counts, and every part of it is marked
+    parts = ["b" * 1500, "Zk3+Qx9/Lw2-Vb7_" * 500]
+    text = f'a = "{parts[0]}"\nb = "{parts[1]}"\nsecret = a + b\n'
+    assert secrets.lexed_spans(text) == [(text.index(p), text.index(p) + len(p)) for p in parts]
+    # a joined value scores as its text does
+    text = 'a = "Zk3Q"\nb = "x9Lw"\ntoken = a + b + "q"\n'
+    assert bool(secrets.lexed_spans(text)) == (0.9 * secrets.randomness("Zk3Qx9Lwq") >= 0.5)
+    assert secrets.lexed_spans('a = "change"\nsecret = a + "me"\n') == []
+    # constants that double constants beyond any length that could be spelled out
+    began = time.perf_counter()
+    text = 'a0 = "Zk3Qx9"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(3000)) + "secret = a3000\n"
+    assert secrets.lexed_spans(text) == [(6, 12)] and time.perf_counter() - began < 5
