@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import normalize, similarity
-from spindrift.operators import audits, blocking, evidence, metrics, policy, scoring, splits, training, validate
+from spindrift.operators import audits, blocking, classes, evidence, metrics, policy, scoring, splits, training, validate
 from spindrift.operators.scoring import C, S1
 from spindrift.plans import queries
 from spindrift.sources import files, packaging
@@ -79,6 +79,46 @@ def test_caps_drop_hot_keys_before_the_join(spark):
     assert blocking.within_budget(left, right, [spec, open_], None, 7) == [spec, open_]
 
 
+def test_a_block_without_pairs_is_not_chosen(spark):
+    left = entities(spark, [(f"S1-{i}", "hot name", "", "us") for i in range(3)])
+    right = entities(spark, [("S2-1", "hot name", "", "us")])
+    over, open_ = blocking.BlockSpec("n", "name<3", cap=2), blocking.BlockSpec("o", "name<3")
+    assert blocking.within_budget(left, right, [over, open_], 5, None) == [open_]
+
+
+def test_guarded_pairs_lose_none_over_the_budget(spark, monkeypatch):
+    left = entities(spark, [(f"S1-{i}", f"name {i % 3}", f"{i % 2} main street 90001", "us") for i in range(12)])
+    right = entities(spark, [(f"S2-{i}", f"name {i % 3}", f"{i % 2} main street 90001", "us") for i in range(9)])
+    wanted = sorted(values(blocking.block_pairs(left, right, blocking.TIGHT), S1, C, "block_name", "is_exact"))
+    for budgets in ((4, 10), (40, 60)):
+        monkeypatch.setitem(blocking.BUDGETS, "tight", budgets)
+        assert sorted(values(blocking.guarded_pairs(left, right, "tight"), S1, C, "block_name", "is_exact")) == wanted
+    a, b, c = (blocking.BlockSpec(x, "name") for x in "abc")
+    assert blocking.budgeted_joins({"a": 3, "b": 9, "c": 4}, [a, b, c], 5, 6) == [[b], [a], [c]]
+
+
+def test_classes_score_as_records_do(spark):
+    rng = random.Random(4)
+    rows = lambda p, n: [(f"{p}-{i}", rng.choice(["red bolt", "red bolt inc", "blue nut", ""]), rng.choice(["1 a street 90001", "2 a street 90001", ""]), rng.choice(["us", "peru"])) for i in range(n)]
+    left, right = entities(spark, rows("S1", 40)), entities(spark, rows("S2", 60))
+    specs = [blocking.EXACT[1], blocking.BlockSpec("name", "name<3"), blocking.BlockSpec("other", "number", only="S3"), blocking.BlockSpec("address", "addr>5", 90, only="S2")]
+    plain = scoring.scored(evidence.aggregated(blocking.block_pairs(left, right, specs)), left, right)
+    columns = sorted(plain.columns)
+    wanted = sorted(values(plain, *columns))
+    assert len(wanted) > 300 and sorted(values(classes.scored(left, right, specs), *columns)) == wanted
+    at = columns.index("base_rank")
+    assert sorted(values(classes.scored(left, right, specs, 7), *columns)) == [r for r in wanted if r[at] <= 7]
+    capped = [blocking.BlockSpec("n", "name<3", cap=30)]
+    pairs = lambda df: sorted(values(df, S1, C, "evidence_rows", "block_names"))
+    assert pairs(classes.aggregated(left, right, capped)) == pairs(evidence.aggregated(blocking.block_pairs(left, right, capped)))
+    # fewer pairs are scored than made, and an id that is repeated is paired by record
+    both = classes.of_both(left, right, specs)
+    assert both[0].classes < 25 and classes.block_pairs(both, specs).count() * 2 < blocking.block_pairs(left, right, specs).count()
+    twice = left.union(left.limit(3))
+    assert classes.of_both(twice, right, specs) is None
+    assert pairs(classes.aggregated(twice, right, specs)) == pairs(evidence.aggregated(blocking.block_pairs(twice, right, specs)))
+
+
 def test_empty_fields_have_no_key(spark):
     rows = entities(spark, [("S1-1", "", "12 a", "us"), ("S1-2", "abc", "no digits", "us"), ("S1-3", "abc", "12 a", "")])
     assert blocking.keyed(rows, blocking.DIGITS).count() == 0
