@@ -119,6 +119,28 @@ def test_classes_score_as_records_do(spark):
     assert pairs(classes.aggregated(twice, right, specs)) == pairs(evidence.aggregated(blocking.block_pairs(twice, right, specs)))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_candidates_move_no_pairs(spark, monkeypatch):
+    """Pairs between classes are aggregated where they are made, and each task keeps a record's best."""
+    rows = lambda p, n: [(f"{p}-{i}", f"name {i % 9}", f"{i % 5} main street 90001", "us") for i in range(n)]
+    left, right = entities(spark, rows("S1", 300)), entities(spark, rows("S2", 200))
+    specs = [blocking.EXACT[1], blocking.BlockSpec("name", "name<3"), blocking.BlockSpec("address", "addr>5")]
+    both = classes.of_both(left, right, specs)
+    pairs = evidence.aggregated(classes.block_pairs(both, specs))
+    assert not [x for x in plan_of(pairs).splitlines() if "hashpartitioning(source1" in x]
+    assert "Partial" in plan_of(classes.scored(left, right, specs, 1)).split("Exchange hashpartitioning(source1")[1].splitlines()[1]
+    monkeypatch.setattr(classes, "DEALT", 2)
+    wanted = sorted(values(pairs, *pairs.columns))
+    for most in (classes.MAX_CLASSES, 1):
+        monkeypatch.setattr(classes, "MAX_CLASSES", most)
+        assert sorted(values(evidence.aggregated(classes.block_pairs(both, specs)), *pairs.columns)) == wanted
+    top = scoring.scored(evidence.aggregated(blocking.block_pairs(left, right, specs)), left, right).where("base_rank <= 2")
+    assert sorted(values(classes.scored(left, right, specs, 2), S1, C, "base_rank")) == sorted(values(top, S1, C, "base_rank"))
+
+
 def test_empty_fields_have_no_key(spark):
     rows = entities(spark, [("S1-1", "", "12 a", "us"), ("S1-2", "abc", "no digits", "us"), ("S1-3", "abc", "12 a", "")])
     assert blocking.keyed(rows, blocking.DIGITS).count() == 0
