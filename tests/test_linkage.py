@@ -141,6 +141,21 @@ def test_first_candidates_move_no_pairs(spark, monkeypatch):
     assert sorted(values(classes.scored(left, right, specs, 2), S1, C, "base_rank")) == sorted(values(top, S1, C, "base_rank"))
 
 
+def test_truth_by_groups_is_truth_by_pairs(spark):
+    left = spark.createDataFrame([("S1-1", 1), ("S1-2", 1), ("S1-3", 2), ("S1-4", 9)], f"{S1} string, left_group int")
+    right = spark.createDataFrame([("S2-1", 5), ("S2-2", 5), ("S3-1", 6), ("S3-2", 7)], f"{C} string, right_group int")
+    linked = metrics.LinkedTruth(left, right, spark.createDataFrame([(1, 5), (1, 6), (2, 6)], "left_group int, right_group int"))
+    tops = spark.createDataFrame([("S1-1", "S2-1", 3.0), ("S1-2", "S3-2", 2.0), ("S1-3", "S3-1", 2.0), ("S1-4", "S2-2", 1.0), ("S1-5", "S9-1", 0.5)], f"{S1} string, {C} string, u double")
+    ids = spark.createDataFrame([(f"S1-{i}",) for i in range(1, 7)], "entity_id string")
+    for truth in (linked, linked.of("S2")):
+        pairs = truth.pairs()
+        assert sorted(values(metrics.truth_counts(truth), S1, "truth")) == sorted(values(metrics.truth_counts(pairs), S1, "truth"))
+        both = [metrics.policy_table(ids, t, tops) for t in (truth, pairs)]
+        assert len({str(sorted(values(t, *t.columns))) for t in both}) == 1
+    assert sorted(values(linked.of("S2").pairs(), S1, C)) == [(f"S1-{i}", f"S2-{j}") for i in (1, 2) for j in (1, 2)]
+    assert sorted(values(metrics.flagged(tops, linked, "hit"), S1, "hit")) == [("S1-1", 1), ("S1-2", None), ("S1-3", 1), ("S1-4", None), ("S1-5", None)]
+
+
 def test_empty_fields_have_no_key(spark):
     rows = entities(spark, [("S1-1", "", "12 a", "us"), ("S1-2", "abc", "no digits", "us"), ("S1-3", "abc", "12 a", "")])
     assert blocking.keyed(rows, blocking.DIGITS).count() == 0
