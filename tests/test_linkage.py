@@ -156,6 +156,35 @@ def test_truth_by_groups_is_truth_by_pairs(spark):
     assert sorted(values(metrics.flagged(tops, linked, "hit"), S1, "hit")) == [("S1-1", 1), ("S1-2", None), ("S1-3", 1), ("S1-4", None), ("S1-5", None)]
 
 
+def _sources(spark):
+    rows = lambda p, n: [(f"{p}-{i}", f"name {i % 4}" if i % 7 else "", f"{i % 3} main street {90001 + i % 2}", "us") for i in range(n)]
+    return entities(spark, rows("S1", 40)), entities(spark, rows("S2", 30)), entities(spark, rows("S3", 20))
+
+
+def test_coverage_of_classes_is_that_of_records(spark):
+    left, right, _ = _sources(spark)
+    groups = lambda df, key, name: df.select(F.col("entity_id").alias(key), (F.regexp_extract("entity_id", r"(\d+)$", 1).cast("int") % 5).alias(name)).where(f"{name} < 4")
+    links = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 3)], "left_group int, right_group int")
+    truth = metrics.LinkedTruth(groups(left, S1, "left_group"), groups(right, C, "right_group"), links)
+    baseline, added = [blocking.EXACT[3], blocking.BlockSpec("capped", "name<6", 6)], [blocking.BlockSpec("postal", "postal name<6"), blocking.BlockSpec("more", "addr<2", 14)]
+    plain = audits.coverage_audit(truth.pairs(), blocking.block_pairs(left, right, baseline), blocking.block_pairs(left, right, added))
+    both = classes.grouped_classes(left, right, baseline + added, truth)
+    got = audits.coverage_of_classes(truth, classes.true_pairs(both, baseline, added, truth))
+    assert got.columns == plain.columns and values(got, *got.columns) == values(plain, *plain.columns)
+    assert plain.first().new_recovered > 0 and plain.first().baseline_covered > 0
+
+
+def test_candidate_lists_of_classes_are_those_of_records(spark):
+    left, second, third = _sources(spark)
+    specs = [blocking.EXACT[0], blocking.BlockSpec("capped", "name<6 number", 6)]
+    pairs = blocking.block_pairs(left, second, specs).unionByName(blocking.block_pairs(left, third, specs))
+    wanted = sorted(values(evidence.candidate_lists(left, pairs), S1, "candidate_entity_ids"))
+    lists = classes.candidate_lists(left, [second, third], specs)
+    assert sorted(values(lists, S1, "candidate_entity_ids")) == wanted
+    assert any(x is None for _, x in wanted) and any("S2" in x and "S3" in x for _, x in wanted if x)
+    assert classes.candidate_lists(left.union(left.limit(1)), [second], specs) is None
+
+
 def test_empty_fields_have_no_key(spark):
     rows = entities(spark, [("S1-1", "", "12 a", "us"), ("S1-2", "abc", "no digits", "us"), ("S1-3", "abc", "12 a", "")])
     assert blocking.keyed(rows, blocking.DIGITS).count() == 0
