@@ -171,6 +171,9 @@ def test_coverage_of_classes_is_that_of_records(spark):
     both = classes.grouped_classes(left, right, baseline + added, truth)
     got = audits.coverage_of_classes(truth, classes.true_pairs(both, baseline, added, truth))
     assert got.columns == plain.columns and values(got, *got.columns) == values(plain, *plain.columns)
+    plain_pool = metrics.pool_audit(truth.pairs(), blocking.block_pairs(left, right, baseline), blocking.block_pairs(left, right, added))
+    pool = classes.pool_audit(both, baseline, added, truth)
+    assert pool.columns == plain_pool.columns and values(pool, *pool.columns) == values(plain_pool, *pool.columns)
     assert plain.first().new_recovered > 0 and plain.first().baseline_covered > 0
 
 
