@@ -4,6 +4,7 @@ import inspect
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,3 +471,39 @@ def test_discovery_and_submissions(spark, tmp_path):
 def test_candidates_by_strength(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "w", 2), ("a", "v", 2), ("b", "u", 1)], f"{S1} string, {C} string, exact_key_count long")
     assert values(evidence.by_strength(rows), S1, C) == [("a", "v"), ("a", "w"), ("a", "x"), ("b", "u")]
+
+
+@pytest.fixture(scope="module")
+def copied(spark, sf_dir, tmp_path_factory):
+    """Parts in eight copies with other keys, so that most records have equal ones."""
+    folder = str(tmp_path_factory.mktemp("copied"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    step = part.agg(F.max("p_partkey")).first()[0] + 1
+    copies = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("p_partkey", F.col("p_partkey") + F.col("i") * step).drop("i")
+    copies.coalesce(2).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def by_sql(folder, name):
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{folder}/part.parquet/*.parquet'")
+    wanted = con.sql(queries.oracle_sql()[name])
+    return wanted.columns, wanted.fetchall()
+
+
+def close(got, wanted):
+    """Equal rows; the last of six digits may be rounded otherwise."""
+    order = lambda rows: sorted(rows, key=lambda r: repr([v for v in r if not isinstance(v, float)]))
+    return len(got) == len(wanted) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(order(got), order(wanted), strict=True))
+
+
+def never(*_):
+    raise AssertionError("pairs of records are joined with truth")
+
+
+@pytest.mark.parametrize("name", ["pair_differences", "labelled_pairs", "pointwise_rows", "linear_utilities"])
+def test_labels_and_ranks_are_made_between_classes(spark, copied, monkeypatch, name):
+    monkeypatch.setattr(queries.training, "labelled", never)
+    columns, wanted = by_sql(copied, name)
+    got = queries.queries()[name](spark, copied)
+    assert wanted and close(values(got, *columns), wanted)
