@@ -507,3 +507,16 @@ def test_labels_and_ranks_are_made_between_classes(spark, copied, monkeypatch, n
     columns, wanted = by_sql(copied, name)
     got = queries.queries()[name](spark, copied)
     assert wanted and close(values(got, *columns), wanted)
+
+
+def test_pairwise_ranking_scores_classes(spark, copied, monkeypatch):
+    from spindrift.plans.audit_queries import _FIXED
+
+    monkeypatch.setattr(queries.training, "labelled", never)
+    monkeypatch.setattr(queries.training, "fit_pairwise", lambda _: _FIXED)
+    got = queries.queries()["pairwise_ranking"](spark, copied).orderBy(S1, "rank").collect()
+    utilities = {r[:2]: r[2] for r in by_sql(copied, "linear_utilities")[1]}
+    labels = {r[:2]: r[3:] for r in by_sql(copied, "labelled_pairs")[1]}
+    assert len(got) == len(labels) and all(utilities[r[:2]] == pytest.approx(r.utility, abs=2e-6) and labels[r[:2]] == (r.label, r.is_validation) for r in got)
+    for a, b in zip(got, got[1:], strict=False):
+        assert b.rank == (a.rank + 1 if a[0] == b[0] else 1) and (b.rank == 1 or a.utility >= b.utility)
