@@ -520,3 +520,21 @@ def test_pairwise_ranking_scores_classes(spark, copied, monkeypatch):
     assert len(got) == len(labels) and all(utilities[r[:2]] == pytest.approx(r.utility, abs=2e-6) and labels[r[:2]] == (r.label, r.is_validation) for r in got)
     for a, b in zip(got, got[1:], strict=False):
         assert b.rank == (a.rank + 1 if a[0] == b[0] else 1) and (b.rank == 1 or a.utility >= b.utility)
+
+
+def test_pointwise_ranking_learns_from_classes(spark, copied, monkeypatch):
+    monkeypatch.setattr(queries.training, "labelled", never)
+    asked, fit = {}, training.fit_pointwise
+
+    def small(rows):
+        asked.update({r.label: r.n for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}, rows=rows.count())
+        return fit(rows, trees=2, depth=2, least=1)
+
+    monkeypatch.setattr(queries.training, "fit_pointwise", small)
+    got = queries.queries()["pointwise_ranking"](spark, copied).orderBy(S1, "rank").collect()
+    labels = {r[:2]: r[3] for r in by_sql(copied, "labelled_pairs")[1]}
+    assert len(got) == len(labels) and all(labels[r[:2]] == r.label for r in got)
+    for a, b in zip(got, got[1:], strict=False):
+        assert b.rank == (a.rank + 1 if a[0] == b[0] else 1) and (b.rank == 1 or a.probability_1 >= b.probability_1)
+    learnt = [r[3] for r in by_sql(copied, "pointwise_rows")[1]]
+    assert (asked[0], asked[1]) == (learnt.count(0), learnt.count(1)) and asked["rows"] < len(learnt)
