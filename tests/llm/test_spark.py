@@ -207,6 +207,23 @@ def test_urls(spark):
     assert url_filter.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_all_labelled_urls_are_counted_and_calibrate(spark, monkeypatch):
+    rng = random.Random(7)
+    good = [f"http://{rng.choice('abc')}{i}.com/{rng.randrange(999)}" for i in range(22_000)] + ["http://long.com/" + "zq" * 3000]
+    bad = [f"http://{rng.choice('abd')}{i}.net/fr/{rng.randrange(999)}" for i in range(300)]
+    asked = [f"http://{x}{i}.org/{i}" for i, x in enumerate(["zq" * 40, "a", "d", "c.com", "x/fr"])]
+    df = spark.createDataFrame(list(enumerate(good + bad + asked + good[:50])), "page_id int, url string")
+    order = {r.u: (r.h, r.u) for r in df.select(F.col("url").alias("u"), F.xxhash64("url").alias("h")).distinct().collect()}
+    ratio = url_filter.fit_ratio(sorted(good, key=order.get), sorted(bad, key=order.get))
+    monkeypatch.setattr(url_filter, "RANGE_ROWS", 500)  # several ranges of scores
+    got = {r.url: r for r in url_filter.url_verdicts(df).where("rule is null").collect()}
+    assert sorted(got) == sorted(asked)
+    for u in asked:
+        assert got[u].score == pytest.approx(ratio.score(u), rel=1e-9) and got[u].verdict == ("allow" if got[u].score >= ratio.threshold else "block")
+    labelled = url_filter.labelled_urls(df, "url", F.when(F.col("url").contains(".com/"), "allow").when(F.col("url").contains(".net/fr/"), "block"))
+    assert url_filter.fit_on(labelled, 4).threshold == pytest.approx(ratio.threshold, rel=1e-9)
+
+
 def test_contamination(spark, odd, none):
     rng = random.Random(2)
     item, short = sentence(rng, 40), sentence(rng, 3)
