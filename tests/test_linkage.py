@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import normalize, similarity
-from spindrift.operators import audits, blocking, classes, evidence, metrics, policy, scoring, splits, training, validate
+from spindrift.operators import audits, blocking, classes, evidence, metrics, policy, scoring, splits, tiles, training, validate
 from spindrift.operators.scoring import C, S1
 from spindrift.plans import queries
 from spindrift.sources import files, packaging
@@ -538,3 +538,30 @@ def test_pointwise_ranking_learns_from_classes(spark, copied, monkeypatch):
         assert b.rank == (a.rank + 1 if a[0] == b[0] else 1) and (b.rank == 1 or a.probability_1 >= b.probability_1)
     learnt = [r[3] for r in by_sql(copied, "pointwise_rows")[1]]
     assert (asked[0], asked[1]) == (learnt.count(0), learnt.count(1)) and asked["rows"] < len(learnt)
+
+
+def test_first_candidates_come_from_tiles(spark, monkeypatch):
+    """Pairs of a hot key and of other blocks are met once, in tiles of few classes, with the scores of
+    whole ranking; no plan makes a row a pair."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    address = lambda i: None if i % 11 == 0 else word(rng.choice([3, 20, 70, 90])) + f" {rng.randint(1, 9)} 9000{i % 3}"
+    rows = lambda s: [(f"S{s}-{i}", ("hot name" if i % 3 else f"name {i % 5}") if i % 7 else None, address(i), ("US", "usa", "India", None)[i % 4]) for i in range(90)]
+    left, right = entities(spark, rows(1)), entities(spark, rows(2) + [("S2-900", "hot name", "1 road 90001", "US"), ("S2-901", "hot name", "1 road 90001", "US")])
+    specs = queries.POOL + blocking.AUGMENTED["S2"]
+    assert [specs[i].name for i in tiles.makers(specs)] == [s.name for s in specs if s.name not in ("full_key", "name_address_key", "name_country_key")]
+    wanted = [r.asDict() for r in scoring.scored(evidence.aggregated(blocking.block_pairs(left, right, specs)), left, right).collect()]
+    for tile, chunk in ((2048, 1 << 15), (7, 50)):
+        monkeypatch.setattr(tiles, "TILE", tile)
+        monkeypatch.setattr(tiles, "CHUNK", chunk)
+        for most in (1, 4):
+            found = classes.scored(left, right, specs, most)
+            assert "block_name#" not in plan_of(found)
+            key = lambda r: (r[S1], r[C])
+            assert sorted((r.asDict() for r in found.collect()), key=key) == sorted((r for r in wanted if r["base_rank"] <= most), key=key)
+
+
+def test_tile_scores_round_as_sql_does():
+    import numpy as np
+
+    assert tiles.rounded(np.array([0.0000005, 0.0078125, 2 / 3, 1.0, 33.1234565])).tolist() == [0.000001, 0.007813, 0.666667, 1.0, 33.123457]
