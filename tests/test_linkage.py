@@ -565,3 +565,11 @@ def test_tile_scores_round_as_sql_does():
     import numpy as np
 
     assert tiles.rounded(np.array([0.0000005, 0.0078125, 2 / 3, 1.0, 33.1234565])).tolist() == [0.000001, 0.007813, 0.666667, 1.0, 33.123457]
+
+
+def test_recall_by_groups_makes_no_truth_pairs(spark):
+    left = spark.createDataFrame([(f"S1-{i}", i % 3) for i in range(9)], f"{S1} string, left_group int")
+    right = spark.createDataFrame([(f"S2-{i}", i % 2) for i in range(6)], f"{C} string, right_group int")
+    truth = metrics.LinkedTruth(left, right, spark.createDataFrame([(0, 1), (2, 0), (2, 1)], "left_group int, right_group int"))
+    ranked = spark.createDataFrame([(f"S1-{i}", f"S2-{j}", j + 1) for i in range(9) for j in range(5)], f"{S1} string, {C} string, r bigint")
+    assert values(metrics.recall_at(truth, ranked, "r", (1, 3)), "*") == values(metrics.recall_at(truth.pairs(), ranked, "r", (1, 3)), "*")
